@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import simhash_dedup, substring_dedup
+from latticework.llm import bpe, packing, simhash_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op7_packing": packing.op7_packing,
     }
 
 
