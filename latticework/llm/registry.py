@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import bpe, packing, simhash_dedup, substring_dedup
+from latticework.llm import bpe, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_packing": packing.op7_packing,
+        "op8_quality": quality.op8_quality,
+        "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.OP4_SQL}
+    return {"op3_line_dedup": line_dedup.OP3_SQL, "op4_substring_dedup": substring_dedup.OP4_SQL}
