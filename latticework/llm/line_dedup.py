@@ -41,12 +41,11 @@ def repeated_runs(docs: DataFrame, run: int) -> DataFrame:
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, parts = b.column(0).to_pylist(), [winnowed(t, run) for t in texts(b.column(1))]
-            for i, (least, whole, at) in zip(ids, parts):
-                if i is not None and len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(least.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.full(len(at), i)), pa.array(at.astype(np.int32))], ["fp", "run", "doc_id", "line"]
-                    )
+            found = [(i, *winnowed(t, run)) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))) if i is not None]
+            if found:
+                ids, least, whole, at = zip(*found)
+                columns = [np.concatenate(least).view(np.int64), np.concatenate(whole).view(np.int64), np.repeat(np.array(ids, np.int64), [len(x) for x in at]), np.concatenate(at).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "run", "doc_id", "line"])
 
     rows = docs.select("doc_id", "text").mapInArrow(select, "fp long, run long, doc_id long, line int")
     place = F.struct("doc_id", "line")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import bpe, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity
+from latticework.llm import ann, bpe, embedding_dedup, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_ann": ann.op6_ann,
         "op7_packing": packing.op7_packing,
         "op8_quality": quality.op8_quality,
+        "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.OP3_SQL, "op4_substring_dedup": substring_dedup.OP4_SQL}
+    return {
+        "op3_line_dedup": line_dedup.OP3_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
+        "op6_ann": ann.OP6_SQL,
+        "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+    }
