@@ -1,4 +1,4 @@
-"""All registered queries of the graph engine."""
+"""All registered queries of the graph engine, each with its DuckDB equivalent where SQL has one."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "degree"
+from latticework.plans import analytics, features, graphs
+
+FLAGSHIP = "galerkin"
+_ALL = {**graphs.QUERIES, **features.QUERIES, **analytics.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
