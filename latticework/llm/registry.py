@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import ann, bpe, embedding_dedup, line_dedup, packing, quality, simhash_dedup, substring_dedup, toxicity
+from latticework.llm import ann, bpe, embedding_dedup, line_dedup, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ann": ann.op6_ann,
         "op7_packing": packing.op7_packing,
         "op8_quality": quality.op8_quality,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
         "pipeline": _pipeline,
     }
@@ -35,5 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_ann": ann.OP6_SQL,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
     }

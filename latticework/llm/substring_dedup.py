@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,11 @@ def cells(marks: np.ndarray, row: int) -> np.ndarray:
     return (mixed(marks + np.uint64(0x5851F42D4C957F2D * row & (1 << 64) - 1)) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
 
 
-def merged_sketch(docs: DataFrame, window: int, gram: int) -> list[np.ndarray]:
+def merged_sketch(docs: DataFrame, marks_of: Callable[[bytes], np.ndarray]) -> list[np.ndarray]:
     """Bit maps, one for each row of the sketch: is the cell's count, over all documents, 2 or more?
 
-    Each partition counts, once for each document, the marks of its windows; counts saturate at 2, are sent
-    as sorted cell numbers by block and added block by block. A count never falls below the true one.
+    Each partition counts the marks of its texts; counts saturate at 2, are sent as sorted cell numbers by block and
+    added block by block. A count never falls below the true one.
     """
     blocks = 1 << CELLS_LOG2 - BLOCK_LOG2
 
@@ -64,8 +64,8 @@ def merged_sketch(docs: DataFrame, window: int, gram: int) -> list[np.ndarray]:
 
         for b in batches:
             for t in texts(b.column(0)):
-                if keys := window_keys(t, window, gram):
-                    marks = np.unique(keys[2])
+                marks = marks_of(t)
+                if len(marks):
                     n += len(marks)
                     for row in range(DEPTH):
                         held[row].append(cells(marks, row))
@@ -111,7 +111,12 @@ def estimated_repeated(marks: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
 def later_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, starts): starts of windows that a smaller doc_id has too, as little-endian 32-bit integers, in several rows for a document."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(merged_sketch(docs, window, gram))
+
+    def marks(text: bytes) -> np.ndarray:
+        keys = window_keys(text, window, gram)
+        return np.unique(keys[2]) if keys else np.zeros(0, np.uint64)  # once for each document
+
+    bits = spark.sparkContext.broadcast(merged_sketch(docs, marks))
 
     def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows estimated repeated. Of equal ones met in this chunk only those of the least doc_id go on; the others are settled here."""
