@@ -48,7 +48,7 @@ def bucket_keys(v: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
             firsts.append(np.where(flip, two[:, 0], two[:, 1]))
             seconds.append(np.where(flip, two[:, 1], two[:, 0]))
         for k in range(-1, HASHES):
-            key = np.full(len(v), t, np.int64)
+            key = np.full(len(v), t + TABLES * v.shape[1], np.int64)  # vectors of other lengths keep apart
             for h in range(HASHES):
                 key = key * (2 * size) + (seconds[h] if h == k else firsts[h])
             probes[:, t, k + 1] = key

@@ -199,7 +199,7 @@ def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Data
     late = later_windows(rows, window, gram).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts"))
     joined = rows.join(late.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    schema = joined.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept")).schema
+    schema = joined.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
