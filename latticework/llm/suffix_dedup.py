@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Rolling, mixed, sliding_min, small_batches, table, texts
+from latticework.llm.common import Rolling, mixed, sliding_min, small_batches, table, texts, written
 from latticework.llm.induced_sorting import suffix_order
 from latticework.llm.substring_dedup import estimated_repeated, merged_sketch
 
 GRAM = 32  #: bytes of the strings whose least hash anchors a window
 SHARD = 4 << 20  #: bytes of distinct segments that are sorted together, if one anchor has no more
 HELD = 32 << 20  #: bytes of segments that a task gathers before equal ones are sent as one row
+CROWD_CELLS = 1 << 22  #: in which segments are counted by anchor, to find crowded ones
+CROWD = 512  #: segments of a cell, and 8 times the mean, from which its anchors are parted further
 _bytes, _second = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 _spread = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -29,13 +31,6 @@ def hashes(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, int]:
     return h, sliding_min(h, window - gram + 1), window - gram + 1
 
 
-def anchors(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, first start) of each stretch of window starts with the same least hash; stretches follow each other without gap."""
-    least = hashes(text, window)[1]
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.zeros(0, np.int64)
-    return least[first], first
-
-
 def anchor_places(text: bytes, window: int) -> np.ndarray:
     """The anchor of every place that is least in some window: two equal windows, in one stretch even, have two such places."""
     h, least, width = hashes(text, window)
@@ -78,12 +73,21 @@ def ranges(starts: np.ndarray) -> np.ndarray:
     return np.stack([first, last - first + 1], 1)
 
 
-def repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, found): starts of repeated windows as (first, count) pairs of little-endian 32-bit integers, several rows for a document."""
-    bits = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, lambda t: anchor_places(t, window)))  # of fixed size
+def parted(h: np.ndarray, anchor: np.uint64, starts: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, first start) of the parts of a crowded anchor's stretch: within it, windows also agree in their least hash by another order. ``h``: hashes of the stretch's short strings."""
+    least = sliding_min(mixed(h[: starts + width - 1] ^ np.uint64(0x94D049BB133111EB)), width)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    return mixed(least[first] + anchor), first
+
+
+def segments(docs: DataFrame, window: int, bits, crowded=None) -> DataFrame:
+    """Segments whose anchor is estimated to occur twice: all bytes of the stretch's windows. Equal ones of a chunk become one row.
+
+    With ``crowded`` (anchors' cells, sorted): (anchor, segment, places), stretches of those anchors in parts. Without: (anchor) of each row.
+    """
+    count_only = crowded is None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments whose anchor is estimated to occur twice: all bytes of the stretch's windows. Equal ones of this chunk become one row."""
         held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
         size = 0
 
@@ -92,25 +96,55 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             held.clear()
             for at in range(0, len(items), 2000):
                 part = items[at : at + 2000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k, _ in part], pa.int64()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([np.array(v, "<i8").tobytes() for _, v in part], pa.binary())], ["anchor", "segment", "places"]
-                )
+                columns = [pa.array([k[0] for k, _ in part], pa.int64())]
+                if not count_only:
+                    columns += [pa.array([k[1] for k, _ in part], pa.binary()), pa.array([np.array(v, "<i8").tobytes() for _, v in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "segment", "places"][: len(columns)])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 if i is None:
                     continue
-                anchor, first = anchors(t, window)
-                ends = np.r_[first[1:], len(t) - window + 1] + window - 1 if len(first) else first
-                for k in np.flatnonzero(estimated_repeated(anchor, bits.value)) if len(first) else ():
-                    s = t[first[k] : ends[k]]
-                    held.setdefault((int(anchor[k].view(np.int64)), s), []).append((i, int(first[k])))
-                    size += len(s)
+                h, least, width = hashes(t, window)
+                if not len(least):
+                    continue
+                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                anchor = least[first]
+                stops = np.r_[first[1:], len(least)]
+                twice = estimated_repeated(anchor, bits.value)
+                full = np.zeros(len(first), bool) if count_only else np.isin(anchor & np.uint64(CROWD_CELLS - 1), crowded.value)
+                for k in np.flatnonzero(twice):
+                    if full[k]:
+                        keys, heads = parted(h[first[k] :], anchor[k], int(stops[k] - first[k]), width)
+                        heads = heads + first[k]
+                    else:
+                        keys, heads = anchor[k : k + 1], first[k : k + 1]
+                    for key, head, stop in zip(keys.view(np.int64).tolist(), heads.tolist(), [*heads[1:].tolist(), int(stops[k])]):
+                        s = t[head : stop + window - 1]
+                        held.setdefault((key, s), []).append((i, head))
+                        size += len(s)
             if size > HELD:
                 yield from flush()
                 size = 0
         yield from flush()
 
+    return docs.select("doc_id", "text").mapInArrow(cut, "anchor long" if count_only else "anchor long, segment binary, places binary")
+
+
+def crowded_cells(rows: DataFrame) -> np.ndarray:
+    """Sorted cells of anchors with far more segments than others: an eighth of the cells at most, so of bounded size."""
+    cells = rows.groupBy(F.col("anchor").bitwiseAND(F.lit(CROWD_CELLS - 1).cast("long")).alias("cell")).agg(F.count("*").alias("n"))
+    cells = written(cells.where(F.col("n") >= CROWD), "crowded-cells")
+    mean = (cells.agg(F.sum("n")).first()[0] or 0) / CROWD_CELLS
+    return np.sort(np.fromiter((r.cell for r in cells.where(F.col("n") >= 8 * mean).toLocalIterator()), np.uint64))
+
+
+def repeats(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, found): starts of repeated windows as (first, count) pairs of little-endian 32-bit integers, several rows for a document."""
+    sc = docs.sparkSession.sparkContext
+    bits = sc.broadcast(merged_sketch(docs, lambda t: anchor_places(t, window)))  # of fixed size
+    crowded = sc.broadcast(crowded_cells(segments(docs, window, bits)))  # of bounded size
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor. Anchors are gathered to a shard and sorted together; equal segments count as one."""
         shard: dict[bytes, list[bytes]] = {}
@@ -144,7 +178,7 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         if shard:
             yield from settle()
 
-    rows = docs.select("doc_id", "text").mapInArrow(cut, "anchor long, segment binary, places binary")
+    rows = segments(docs, window, bits, crowded)
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, found binary")
 
 
@@ -157,6 +191,7 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
     Equal windows have the same least 32-byte hash, their anchor. Stretches of windows with an anchor that a count-min sketch estimates
     to occur twice go, as one segment of bytes, to the shard of that anchor, where their suffixes are sorted by induction.
+    Anchors with far more segments than others are parted by a second least hash, which equal windows share as well.
     """
     small_batches(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -108,7 +108,9 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
-def test_suffix_dedup(docs, none):
+@pytest.mark.parametrize("crowd", [1, 512])
+def test_suffix_dedup(docs, none, crowd, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     found = {r.doc_id: r for r in suffix_dedup.without_repeats(docs.drop("kept"), 100).collect()}
     raw = [(t or "").encode() for t in TEXTS]
     count = Counter(b[s : s + 100] for b in raw for s in range(len(b) - 99))
