@@ -14,7 +14,7 @@ from latticework.llm.induced_sorting import suffix_order
 from latticework.llm.substring_dedup import estimated_repeated, merged_sketch
 
 GRAM = 32  #: bytes of the strings whose least hash anchors a window
-SHARD = 4 << 20  #: bytes of distinct segments that are sorted together, if one anchor has no more
+SHARD = 2 << 20  #: bytes of distinct segments that are sorted together, if one anchor has no more
 HELD = 32 << 20  #: bytes of segments that a task gathers before equal ones are sent as one row
 CROWD_CELLS = 1 << 22  #: in which segments are counted by anchor, to find crowded ones
 CROWD = 512  #: segments of a cell, and 8 times the mean, from which its anchors are parted further
