@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.plans import analytics, features, graphs
+from latticework.plans import analytics, features, graphs, levels
 
 FLAGSHIP = "galerkin"
-_ALL = {**graphs.QUERIES, **features.QUERIES, **analytics.QUERIES}
+_ALL = {**graphs.QUERIES, **features.QUERIES, **levels.QUERIES, **analytics.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

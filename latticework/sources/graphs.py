@@ -32,6 +32,14 @@ def grid(spark: SparkSession, n: int, m: int, periodic: bool = False) -> DataFra
     return ends.where("id <> to").select(F.least("id", "to").alias("i"), F.greatest("id", "to").alias("j"), F.lit(1.0).alias("w")).distinct()
 
 
+def grid_fe(spark: SparkSession, n: int, m: int) -> DataFrame:
+    """Edges of an n by m grid with all eight neighbours."""
+    at = spark.range(n * m).select("id", F.floor(F.col("id") / m).alias("r"), (F.col("id") % m).alias("c"))
+    steps = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    inside = at.withColumn("o", F.explode(steps)).where((F.col("r") + F.col("o.y") < n) & (F.col("c") + F.col("o.x")).between(0, m - 1))
+    return inside.select(F.col("id").alias("i"), (F.col("id") + F.col("o.y") * m + F.col("o.x")).alias("j"), F.lit(1.0).alias("w"))
+
+
 def path(spark: SparkSession, n: int, weak: float) -> DataFrame:
     """A path whose middle edge has weight ``weak``."""
     return spark.range(n - 1).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.when(F.col("id") == (n - 1) // 2, F.lit(weak)).otherwise(1.0).alias("w"))
@@ -77,6 +85,51 @@ def read_dimacs(spark: SparkSession, path_: str) -> DataFrame:
     return e.groupBy(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(F.max("w").alias("w")).where("i <> j")
 
 
+def read_compressed_column(spark: SparkSession, path_: str) -> DataFrame:
+    """(i, j, v), 0-based, of "i j value" lines."""
+    part = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path_).where("trim(value) <> ''").select((part[0].cast("long") - 1).alias("i"), (part[1].cast("long") - 1).alias("j"), part[2].cast("double").alias("v"))
+
+
+def read_chaco(spark: SparkSession, path_: str) -> DataFrame:
+    """Edges of an unweighted Chaco file: a line of sizes, then a line of neighbours for each node, 0-based. One file is one document, as its line numbers are ids."""
+    lines = spark.read.text(path_, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("n", "line"))
+    ends = lines.where("n > 0").select((F.col("n") - 1).cast("long").alias("a"), F.explode(F.split(F.trim("line"), r"\s+")).alias("b")).where("b <> ''")
+    pairs = ends.select("a", (F.col("b").cast("long") - 1).alias("b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.lit(1.0).alias("w")).distinct()
+
+
+def read_npy(spark: SparkSession, path_: str) -> DataFrame:
+    """(id, x array) of two-dimensional .npy files, each read by one task."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def rows(batches):
+        for b in batches:
+            for content in b["content"]:
+                m = np.load(io.BytesIO(content), allow_pickle=False)
+                for at in range(0, len(m), 10_000):
+                    part = m[at : at + 10_000].astype(float)
+                    yield pd.DataFrame({"id": np.arange(at, at + len(part)), "x": list(part)})
+
+    return spark.read.format("binaryFile").load(path_).select("content").mapInPandas(rows, "id long, x array<double>")
+
+
+def write_dot(edges: DataFrame, path_: str) -> None:
+    """One DOT file of an undirected graph."""
+    spark = edges.sparkSession
+    ends = spark.createDataFrame([("graph {", 0), ("}", 2)], "value string, n int")
+    body = edges.select(F.format_string("  %d -- %d [weight=%s];", "i", "j", F.col("w").cast("string")).alias("value"), F.lit(1).alias("n"), "i", "j")
+    ends.unionByName(body, allowMissingColumns=True).orderBy("n", "i", "j").select("value").coalesce(1).write.text(path_)
+
+
+def write_report(rows: DataFrame, path_: str) -> None:
+    """CSV with a header; for summaries."""
+    rows.coalesce(1).write.csv(path_, header=True)
+
+
 def write_matrix_market(matrix: DataFrame, path_: str, rows: int, columns: int) -> None:
     """Coordinate text: header, size, then 1-based entries; one file."""
     head = matrix.agg(F.format_string(f"{rows} {columns} %d", F.count("*")).alias("value"))
