@@ -52,8 +52,8 @@ def affinity_matrix(edges: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def reweighted(edges: DataFrame, x: DataFrame, threshold: float) -> DataFrame:
-    """Edges whose ends' vectors have a cosine above ``threshold``, which becomes the weight."""
-    cosine = on_edges(edges, x, lambda a, b: vec.dot(a, b) / (vec.norm(a) * vec.norm(b)))
+    """Edges whose ends' vectors have a cosine above ``threshold``, which becomes the weight; zero vectors have none."""
+    cosine = on_edges(edges, x, lambda a, b: F.try_divide(vec.dot(a, b), vec.norm(a) * vec.norm(b)))
     return cosine.where(F.col("v") > threshold).select("i", "j", F.col("v").alias("w"))
 
 

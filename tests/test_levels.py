@@ -56,3 +56,8 @@ def test_formats(spark, tmp_path):
     src.write_dot(src.path(spark, 3, 0.5), str(tmp_path / "dot"))
     text = "".join(p.read_text() for p in Path(tmp_path / "dot").glob("*.txt")).splitlines()
     assert text[0] == "graph {" and text[-1] == "}" and len(text) == 4
+
+
+def test_zero_vectors_have_no_cosine(spark):
+    x = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])], "id long, x array<double>")
+    assert [(r.i, r.j, r.w) for r in lv.reweighted(src.path(spark, 3, 1.0), x, 0.1).collect()] == [(1, 2, 1.0)]
