@@ -93,6 +93,19 @@ def test_line_dedup(docs, none):
     assert line_dedup.without_repeats(none).count() == 0
 
 
+def test_single_lines_that_occur_earlier_go(docs):
+    found = {r.doc_id: r for r in line_dedup.without_repeats(docs, run=1).collect()}
+    seen: set[str] = set()
+    for k, t in enumerate(TEXTS):
+        kept = []
+        for line in (t or "").split("\n"):
+            if not line.strip(" \t\r\x0b\x0c") or line not in seen:
+                kept.append(line)
+            seen.add(line)
+        assert found[k].text == (None if t is None else "\n".join(kept))
+    assert found[8].text == "" and found[8].n_removed_lines == 1
+
+
 def test_substring_dedup(docs, none):
     found = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
     seen: dict[tuple, int] = {}
