@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -9,15 +10,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, components, small_batches, table, texts, written
+from latticework.llm.common import WORD, Rolling, WordHash, components, small_batches, table, texts, written
+from latticework.llm.substring_dedup import estimated_repeated, merged_sketch
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
+_words, _runs = WordHash(3), Rolling(0x9E3779B97F4A7C15)
+
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
     """64-bit SimHash of ``text``: XXH64 (seed 42) of every run of ``shingle`` words, repeats included; no words give 0."""
@@ -140,6 +144,76 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of every run of ``shingle`` words; fewer words are one run, no words none."""
+    words = WORD.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    prefix = _runs.prefix(_words.of(words))
+    return np.unique(_runs.runs(prefix, min(shingle, len(words))))
+
+
+def needed(n: int, least: float) -> int:
+    """Hashes that a set of ``n`` must share with a partner."""
+    return math.ceil(n * least - 1e-9)
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """Components of documents whose sets of ``shingle``-word runs have a Jaccard similarity of ``least`` or more: (doc_id, component_id), each doc_id once.
+
+    Complete, unlike fingerprints within a few bits. Two such sets of n and m share at least ``least`` * n hashes. So a
+    text of which fewer hashes occur elsewhere, by a count-min sketch that never counts too few, has no partner.
+    For the others, hashes are ordered by ascending count, and the sets of a pair share one of the first n - ceil(least * n) + 1;
+    pairs that share one are verified on the whole sets. Equal sets meet as one before that. Rounds that compare one
+    member of each component with one hub of each hash contract dense groups, so that the last, full join only pairs
+    different components. Texts without words are one group. Rows with null doc_id are left out.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    bits = spark.sparkContext.broadcast(merged_sketch(docs, lambda t: shingles(t, shingle)))
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                h = shingles(t, shingle)
+                if not len(h) or np.count_nonzero(estimated_repeated(h, bits.value)) >= needed(len(h), least):
+                    rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), len(h), h.view(np.int64)))
+            if rows:
+                ids, keys, n, h = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "key", "n", "h"])
+
+    held = written(docs.mapInArrow(select, "doc_id long, key binary, n int, h array<long>"), "similar-sets")
+    equal = held.groupBy("key").agg(F.min("doc_id").alias("id"))
+    equal = written(equal, "similar-equal")
+    sets = written(held.join(equal.select("id"), held.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "h").where("n > 0").dropDuplicates(["id"]), "similar-distinct")
+    tokens = sets.select("id", "n", F.explode("h").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(shared, "t").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("m", F.count("*").over(Window.partitionBy("id")))
+    # hashes that no other set has come first in the order and use up the prefix: n - m of them
+    prefix = written(ranked.where(F.col("nth") <= F.col("m") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("t", "id", "n"), "similar-prefix")
+    comp = sets.select("id", F.col("id").alias("comp"))
+    for full in (False, False, True):
+        comp = written(comp, "similar-comp")
+        of = prefix.join(comp, "id")
+        if full:
+            met = of.alias("x").join(of.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9))
+            pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        else:
+            hub = of.groupBy("t").agg(F.min(F.struct("comp", "id")).alias("hub"))
+            pairs = of.join(hub, "t").where("comp <> hub.comp").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+        a, b = sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
+        both = pairs.distinct().join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+        near = both.where(F.col("common") >= (F.size("ha") + F.size("hb") - F.col("common")) * least - 1e-9).select("a", "b")
+        ends = near.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+        root = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "similar-cc").select(F.col("id").alias("comp"), "root")
+        comp = comp.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    named = equal.join(comp, "id", "left").select("key", F.coalesce("comp", "id").alias("component_id"))
+    found = held.join(named, "key").select("doc_id", "component_id")
+    return docs.select("doc_id").distinct().join(found.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

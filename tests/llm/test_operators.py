@@ -69,6 +69,32 @@ def test_simhash_components(docs, none, spark):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_similar_documents_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base = [[f"v{x}" for x in rng.integers(0, 5000, n)] for n in (4, 5, 9, 30, 60, 120, 300)]
+    made = [[], []]
+    for b in base:
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            c = list(b)
+            for at in rng.integers(0, len(c), edits):
+                c[at] = f"z{rng.integers(0, 10**9)}"
+            made.append(c)
+    made += [[*base[5][:110], f"tail{k}"] for k in range(40)] + [[*base[4], *(f"own{k}x{j}" for j in range(60))] for k in range(40)]
+    order = rng.permutation(len(made))
+    made = [made[k] for k in order]
+    sets = [{tuple(w[s : s + 5]) for s in range(max(1, len(w) - 4))} if w else set() for w in made]
+    label = list(range(len(made)))
+    near = [[j for j in range(len(made)) if (not sets[i] and not sets[j]) or (sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))] for i in range(len(made))]
+    for _ in label:
+        label = [min(label[j] for j in near[i]) for i in range(len(made))]
+    docs = spark.createDataFrame([(k, " ".join(w) if w else None) for k, w in enumerate(made)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs).collect()}
+    assert [found[k] for k in range(len(made))] == label
+    four = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
+    assert len(set(found.values())) < len(set(four.values()))
+    assert simhash_dedup.similar_documents(docs.limit(0)).count() == 0
+
+
 def test_golay_keys_meet_within_four_bits():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
