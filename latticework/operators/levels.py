@@ -198,7 +198,7 @@ def spectral_report(matrix: DataFrame) -> DataFrame:
     return matrix.sparkSession.createDataFrame([row], "components long, fiedler double, gap double, mixing double, conductance_bound double")
 
 
-def effective_resistance(edges: DataFrame, a: int, b: int, steps: int = 100) -> DataFrame:
+def effective_resistance(edges: DataFrame, a: int, b: int, steps: int = 2000) -> DataFrame:
     """One row: x_a - x_b where L x = e_a - e_b; both must be in one component."""
     l = it.checkpointed(g.laplacian(edges))
     ends = l.select(F.col("i").alias("id")).distinct().select("id", F.when(F.col("id") == a, 1.0).when(F.col("id") == b, -1.0).otherwise(0.0).alias("x"))

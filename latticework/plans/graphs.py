@@ -301,9 +301,8 @@ def _(s, d):
 
 @add("cg_solve")
 def _(s, d):
-    e = edges(s, d)
-    b = g.times_vector(g.laplacian(e), signal(s, d))
-    return it.conjugate_gradients(g.laplacian(e), b, 20)
+    l = it.checkpointed(g.laplacian(edges(s, d)))
+    return it.conjugate_gradients(l, g.times_vector(l, signal(s, d)))
 
 
 @add("weighted_walk")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import graph as g
 from latticework.operators import levels as lv
+from latticework.plans import registry
 from latticework.sources import graphs as src
 
 
@@ -61,3 +64,19 @@ def test_formats(spark, tmp_path):
 def test_zero_vectors_have_no_cosine(spark):
     x = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0])], "id long, x array<double>")
     assert [(r.i, r.j, r.w) for r in lv.reweighted(src.path(spark, 3, 1.0), x, 0.1).collect()] == [(1, 2, 1.0)]
+
+
+def test_cg_solve_meets_its_tolerance(spark):
+    d = "/root/testdata/sf0.001"
+    l = {(r.i, r.j): r.v for r in g.laplacian(src.part_edges(spark, d)).collect()}
+    x = {r.id: r.x for r in registry.queries()["cg_solve"](spark, d).collect()}
+    b, mx = defaultdict(float), defaultdict(float)
+    for (i, j), v in l.items():
+        b[i] += v * (j % 7)
+        mx[i] += v * x[j]
+    assert np.linalg.norm([mx[k] - b[k] for k in b]) <= 1e-8 * np.linalg.norm(list(b.values()))
+
+
+def test_conjugate_gradients_raise_at_the_limit(spark):
+    with pytest.raises(ArithmeticError):
+        lv.effective_resistance(src.path(spark, 10, 1.0), 0, 9, 3)
