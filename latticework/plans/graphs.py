@@ -40,6 +40,11 @@ def _(s, d):
     return edges(s, d)
 
 
+@add("part_graph", f"WITH {E_SQL.replace('HAVING count(*) >= 2', '')} SELECT i, j, w FROM e")
+def _(s, d):
+    return edges(s, d, 1)
+
+
 @add("degree", f"{WITH} SELECT id, degree FROM d")
 def _(s, d):
     return g.degrees(edges(s, d)).select("id", "degree")
