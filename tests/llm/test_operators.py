@@ -189,7 +189,7 @@ def test_classifiers_separate_held_out_texts(spark, docs, none):
     stock = ["".join(rng.choice(["the", "an", "er", "on", "re", "sh"], 3)) for _ in range(300)]
     text = lambda: " ".join(rng.choice(stock, 60))
     bad = lambda: text().replace(" ", " idiot ", 1).replace(" ", " worthless ", 1)
-    m = toxicity.train([bad() for _ in range(120)], [text() for _ in range(120)], 4 << 10)
+    m = toxicity.train([bad() for _ in range(120)], [text() for _ in range(120)])
     new = spark.createDataFrame([(k, bad() if k % 2 else text()) for k in range(60)], "doc_id long, text string")
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in toxicity.scored(new, m).collect()]) >= 0.9
     assert all(0 <= r.score <= 1 for r in toxicity.scored(docs, m).collect()) and toxicity.scored(none, m).count() == 0
