@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='latticework-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -38,6 +40,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each of ``names``; upper and lower case count as equal."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for x in column.cast(pa.large_binary()):

@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: window minima of line hashes as fingerprints, joined, extended both ways, later runs deleted."""
+"""Line dedup by winnowing: window minima of line hashes as fingerprints, their positions joined, matches extended both ways, later runs deleted."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import mixed, sliding_min, small_batches, table, texts
+from latticework.llm.common import Rolling, clear, mixed, small_batches, table, texts, written
+
+LEAST = 24  #: bytes of the shortest run that counts: one line, or several short ones together
+_first, _second = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
 
 
 def lines_of(text: bytes) -> tuple[list[bytes], np.ndarray]:
@@ -19,64 +22,122 @@ def lines_of(text: bytes) -> tuple[list[bytes], np.ndarray]:
     return lines, np.array([k for k, x in enumerate(lines) if x.strip()], np.int64)
 
 
-def winnowed(text: bytes, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every ``run`` consecutive counting lines: their least hash (the window's fingerprint), a hash of the whole extended run, its first line's rank."""
-    lines, at = lines_of(text)
-    if len(at) < run:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), at[:0]
-    h = np.array([xxhash.xxh64_intdigest(lines[k]) for k in at], np.uint64)
-    whole = h[: len(h) - run + 1].copy()
-    for k in range(1, run):
-        whole = mixed(whole * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run + 1 + k])
-    return sliding_min(h, run), whole, np.arange(len(whole))
+def spans(sizes: np.ndarray, least: int) -> np.ndarray:
+    """Rows (first, last) of the windows: from each line the fewest lines onward that have ``least`` bytes together, and to each line the fewest before it.
+
+    A run of ``least`` bytes or more is the union of the windows inside it: a line from which the run goes on for ``least`` bytes is in
+    its window onward; any other has the window back from the run's last line.
+    """
+    p = np.r_[0, np.cumsum(sizes)]
+    n = len(sizes)
+    end = np.searchsorted(p, p[:-1] + least, side="left") - 1
+    ahead = np.stack([np.arange(n), end], 1)[end < n]
+    start = np.searchsorted(p, p[1:] - least, side="right") - 1
+    back = np.stack([start, np.arange(n)], 1)[start >= 0]
+    return np.unique(np.concatenate([ahead, back]), axis=0)
+
 
+def selected(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The line that each window selects: that with its least hash, the last of equal ones."""
+    return np.array([s if s == e else e - int(h[s : e + 1][::-1].argmin()) for s, e in at.tolist()], np.int64)
 
-def repeated_runs(docs: DataFrame, run: int) -> DataFrame:
-    """(doc_id, starts): first lines, as ranks among the counting ones, of runs that occur earlier: in a smaller doc_id or further up.
 
-    A fingerprint is the least line hash of a window of ``run`` lines, so two equal runs of that length select the same one
-    and meet. Only windows whose fingerprint occurs twice are extended, left and right, to the whole run. One row for each
-    distinct run of a task goes on, with its first place, so that a run that many documents share is never gathered.
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, size): hash and bytes of each counting line, for documents that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                counting = [x for x in t.split(b"\n") if x.strip()] if i is not None else []
+                if counting:
+                    rows.append((i, np.array([xxhash.xxh64_intdigest(x) for x in counting], np.uint64).view(np.int64), np.array([len(x) for x in counting], np.int32)))
+            if rows:
+                ids, h, sizes = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "h", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>, size array<int>")
+
+
+def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for i, h, size in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+        yield i, h.values.to_numpy().view(np.uint64), size.values.to_numpy().astype(np.int64)
+
+
+def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, first, last): windows that occur earlier, in a smaller doc_id or further up, as ranks among the counting lines.
+
+    Every window selects its line of least hash, so equal windows select equal lines: a run that repeats is found though only the selected
+    lines, fewer than all where lines are short, are compared. Their positions are joined with the hashes that are selected twice or more; each
+    joined position is extended to the windows, before and after it, that select it. Windows are matched by 128 bits, each with its first place, so
+    that a line that a third of all documents share is aggregated before the shuffle and never paired.
     """
+    marked = written(line_hashes(docs), "line-hashes")
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *winnowed(t, run)) for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))) if i is not None]
-            if found:
-                ids, least, whole, at = zip(*found)
-                columns = [np.concatenate(least).view(np.int64), np.concatenate(whole).view(np.int64), np.repeat(np.array(ids, np.int64), [len(x) for x in at]), np.concatenate(at).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "run", "doc_id", "line"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(select, "fp long, run long, doc_id long, line int")
-    place = F.struct("doc_id", "line")
-    # positions by fingerprint: the first place of each run under it, and whether it has another
-    firsts = rows.groupBy("fp", "run").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(firsts.drop("n"), ["fp", "run"]).where(place > F.col("first")).select("doc_id", "line")
-
-
-def without_repeats(docs: DataFrame, run: int = 2) -> DataFrame:
-    """Deletes lines of every run of ``run`` or more consecutive lines that also occurs earlier: in a smaller doc_id, or further up in the same one.
-
-    docs: doc_id, text; further columns pass through; text is replaced by what stays and n_removed_lines (long) is added. Lines end at "\\n" and
-    compare byte by byte; lines of white space alone don't count, neither break a run nor are deleted. Runs are judged on the input. Null texts
-    stay null; rows with the same doc_id must be repeats of one row, which lose the same lines; rows with null doc_id stay as they are. An empty
-    table gives an empty result. Winnowing with a window of ``run`` lines guarantees that each repeated run of that length is found.
+            fps, ids, lines = [], [], []
+            for i, h, size in _rows(b):
+                at = np.unique(selected(h, spans(size, least)))
+                fps.append(h[at].view(np.int64))
+                ids.append(np.full(len(at), i, np.int64))
+                lines.append(at.astype(np.int32))
+            if fps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, ids, lines)], ["fp", "doc_id", "line"])
+
+    positions = marked.mapInArrow(select, "fp long, doc_id long, line int")
+    often = positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    joined = positions.join(often, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("at"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for (i, h, size), at in zip(_rows(b), b.column(3)):
+                both = spans(size, least)
+                both = both[np.isin(selected(h, both), at.values.to_numpy())]
+                if not len(both):
+                    continue
+                s, e = both[:, 0], both[:, 1] + 1
+                keys = []
+                for r, items in ((_first, mixed(h)), (_second, mixed(h ^ np.uint64(0x94D049BB133111EB)))):
+                    p = r.prefix(items)
+                    keys.append(mixed((p[e] - p[s]) * r.down[s]).view(np.int64))
+                out.append((*keys, np.full(len(s), i, np.int64), s.astype(np.int32), (e - 1).astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["w1", "w2", "doc_id", "first", "last"])
+
+    windows = marked.join(joined, "doc_id").select("doc_id", "h", "size", "at").mapInArrow(extend, "w1 long, w2 long, doc_id long, first int, last int")
+    place = F.struct("doc_id", "first")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return windows.join(earliest, ["w1", "w2"]).where(place > F.col("least")).select("doc_id", "first", "last")
+
+
+def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """Deletes the lines of every run of consecutive lines, of ``least`` bytes or more together, that also occurs earlier: in a smaller doc_id, or further up in the same one.
+
+    docs: doc_id, text; further columns pass through; text is replaced by what stays and n_removed_lines (long) is added. With ``least`` 1 every
+    line is a run. Lines end at "\\n" and compare byte by byte; lines of white space alone don't count, neither break a run nor are deleted. Runs are
+    judged on the input. Null texts stay null, empty ones empty; texts of any length go whole; rows with the same doc_id must be repeats of one row,
+    which lose the same lines; rows with null doc_id stay as they are. An empty table gives an empty result.
     """
+    if least < 1:
+        raise ValueError("least must be 1 or more")
     small_batches(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    late = repeated_runs(docs, run).groupBy("doc_id").agg(F.collect_set("line").alias("_starts")).withColumnRenamed("doc_id", "_id")
     names = [c for c in docs.columns if c != "n_removed_lines"]
-    joined = docs.join(late, F.col("doc_id") == F.col("_id"), "left").select(*names, "_starts")
+    runs, key = clear(docs, "runs", "key")
+    late = repeated_runs(docs.select("doc_id", "text"), least).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("first", "last")).alias(runs))
+    joined = docs.join(late, F.col("doc_id") == F.col(key), "left").select(*names, runs)
     at_text = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, gone = [], []
-            for t, starts in zip(b.column(at_text), b.column(len(names)).to_pylist()):
+            for t, found in zip(b.column(at_text), b.column(len(names)).to_pylist()):
                 raw, n = t.as_py(), 0
-                if raw and starts:
+                if raw and found:
                     lines, at = lines_of(raw.encode())
-                    drop = {int(at[k + j]) for k in starts for j in range(run)}
+                    drop = {int(k) for r in found for k in at[r["first"] : r["last"] + 1]}
                     n, raw = len(drop), b"\n".join(x for k, x in enumerate(lines) if k not in drop).decode()
                 kept.append(raw)
                 gone.append(n)
@@ -88,6 +149,7 @@ def without_repeats(docs: DataFrame, run: int = 2) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines and runs of short lines go from all ``documents``: (doc_id, n_removed_lines, kept_sha256)."""
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -95,9 +157,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, k, ls[k] AS s, regexp_matches(ls[k], '[^\x20\x09-\x0D]') AS counts FROM raw, unnest(range(1, len(ls) + 1)) AS r(k)),
-ranked AS (SELECT doc_id, k, s, row_number() OVER w AS pos, lead(s) OVER w AS s2, lead(k) OVER w AS k2 FROM lines WHERE counts WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-late AS (SELECT doc_id, k, k2 FROM (SELECT *, row_number() OVER (PARTITION BY s, s2 ORDER BY doc_id, pos) AS nth FROM ranked WHERE s2 IS NOT NULL) WHERE nth > 1),
-gone AS (SELECT doc_id, k FROM late UNION SELECT doc_id, k2 FROM late)
+ranked AS (SELECT doc_id, k, s, strlen(s) AS b, row_number() OVER w AS pos, sum(strlen(s)) OVER w AS upto FROM lines WHERE counts WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+near AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM ranked a JOIN ranked b ON b.doc_id = a.doc_id AND b.pos >= a.pos AND b.pos < a.pos + 24 WHERE b.upto - a.upto + a.b >= 24),
+spans AS (SELECT doc_id, s, min(e) AS e FROM near GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM near GROUP BY doc_id, e),
+wins AS (SELECT x.doc_id, x.s, x.e, string_agg(r.s, chr(10) ORDER BY r.pos) AS t FROM spans x JOIN ranked r ON r.doc_id = x.doc_id AND r.pos BETWEEN x.s AND x.e GROUP BY 1, 2, 3),
+late AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS nth FROM wins) WHERE nth > 1),
+gone AS (SELECT DISTINCT r.doc_id, r.k FROM late x JOIN ranked r ON r.doc_id = x.doc_id AND r.pos BETWEEN x.s AND x.e)
 SELECT l.doc_id, count(g.k) AS n_removed_lines, sha256(coalesce(string_agg(l.s, chr(10) ORDER BY l.k) FILTER (g.k IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id
 """

@@ -36,6 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": line_dedup.OP3_SQL,
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_ann": ann.OP6_SQL,
-        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
+        "op9_suffix_dedup": suffix_dedup.OP9_SQL,
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
     }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import WORD, Rolling, WordHash, components, small_batches, table, texts, written
-from latticework.llm.substring_dedup import estimated_repeated, merged_sketch
+from latticework.llm.sketch import prefilter
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
@@ -171,20 +171,22 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    bits = spark.sparkContext.broadcast(merged_sketch(docs, lambda t: shingles(t, shingle)))
+    pre = prefilter(docs, lambda t: shingles(t, shingle), 6)
+    test = pre.test
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+            for i, t, own in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
                 h = shingles(t, shingle)
-                if not len(h) or np.count_nonzero(estimated_repeated(h, bits.value)) >= needed(len(h), least):
+                if not len(h) or np.count_nonzero(test(h, own)) >= needed(len(h), least):
                     rows.append((i, xxhash.xxh3_128_digest(h.tobytes()), len(h), h.view(np.int64)))
             if rows:
                 ids, keys, n, h = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(h, pa.list_(pa.int64()))], ["doc_id", "key", "n", "h"])
 
-    held = written(docs.mapInArrow(select, "doc_id long, key binary, n int, h array<long>"), "similar-sets")
+    held = written(pre.docs.mapInArrow(select, "doc_id long, key binary, n int, h array<long>"), "similar-sets")
+    pre.close()
     equal = held.groupBy("key").agg(F.min("doc_id").alias("id"))
     equal = written(equal, "similar-equal")
     sets = written(held.join(equal.select("id"), held.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "h").where("n > 0").dropDuplicates(["id"]), "similar-distinct")

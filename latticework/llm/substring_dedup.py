@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, Rolling, WordHash, mixed, sliding_min, small_batches, table, texts
+from latticework.llm.common import WORD, Rolling, WordHash, clear, mixed, sliding_min, small_batches, table, texts, written
+from latticework.llm.sketch import prefilter
 
 GRAM = 24  #: words of the runs whose least hash stands for a window in the sketch
-CELLS_LOG2, DEPTH = 28, 2  #: of the count-min sketch; it is merged to one bit a cell, 64 MB in all, however large the input
-BLOCK_LOG2 = 20  #: cells that are merged and sent together
 CHUNK = 1_500_000  #: window rows that are combined before they are shuffled
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -32,91 +31,15 @@ def window_keys(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.nda
     return _first.runs(prefix, window), (second >> np.uint64(32)).astype(np.int32), sliding_min(_first.runs(prefix, gram), window - gram + 1)
 
 
-def cells(marks: np.ndarray, row: int) -> np.ndarray:
-    return (mixed(marks + np.uint64(0x5851F42D4C957F2D * row & (1 << 64) - 1)) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)
-
-
-def merged_sketch(docs: DataFrame, marks_of: Callable[[bytes], np.ndarray]) -> list[np.ndarray]:
-    """Bit maps, one for each row of the sketch: is the cell's count, over all documents, 2 or more?
-
-    Each partition counts the marks of its texts; counts saturate at 2, are sent as sorted cell numbers by block and
-    added block by block. A count never falls below the true one.
-    """
-    blocks = 1 << CELLS_LOG2 - BLOCK_LOG2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row in range(DEPTH):
-                if not held[row]:
-                    continue
-                at, many = np.unique(np.concatenate(held[row]), return_counts=True)
-                at = at << 1 | (many > 1)  # the lowest bit: twice or more here
-                cuts = np.searchsorted(at, np.arange(1, blocks) << BLOCK_LOG2 + 1)
-                parts = [(k, p) for k, p in enumerate(np.split(at, cuts)) if len(p)]
-                if parts:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row * blocks + k for k, _ in parts], pa.int32()), pa.array([(p & (2 << BLOCK_LOG2) - 1).astype("<u4").tobytes() for _, p in parts], pa.binary())], ["block", "cells"]
-                    )
-                held[row].clear()
-
-        for b in batches:
-            for t in texts(b.column(0)):
-                marks = marks_of(t)
-                if len(marks):
-                    n += len(marks)
-                    for row in range(DEPTH):
-                        held[row].append(cells(marks, row))
-            if n > CHUNK:
-                yield from flush()
-                n = 0
-        yield from flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: np.ndarray | None = None
-        now = None
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(counts > 1, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-        for b in batches:
-            for block, part in zip(b.column(0).to_pylist(), b.column(1)):
-                if block != now:
-                    if counts is not None:
-                        yield done()
-                    now, counts = block, np.zeros(1 << BLOCK_LOG2, np.uint8)
-                at = np.frombuffer(part.as_py(), "<u4")
-                counts[at >> 1] = np.minimum(counts[at >> 1] + 1 + (at & 1), 2)
-        if counts is not None:
-            yield done()
-
-    parts = docs.select("text").mapInArrow(count, "block int, cells binary").repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
-    bits = [np.zeros(1 << CELLS_LOG2 - 3, np.uint8) for _ in range(DEPTH)]
-    for r in parts.toLocalIterator():  # of fixed size: DEPTH * 2**CELLS_LOG2 bits at most
-        at = r.block % blocks << BLOCK_LOG2 - 3
-        bits[r.block // blocks][at : at + (1 << BLOCK_LOG2 - 3)] = np.frombuffer(r.bits, np.uint8)
-    return bits
-
-
-def estimated_repeated(marks: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
-    out = np.ones(len(marks), bool)
-    for row, held in enumerate(bits):
-        at = cells(marks, row)
-        out &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def later_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, starts): starts of windows that a smaller doc_id has too, as little-endian 32-bit integers, in several rows for a document."""
-    spark = docs.sparkSession
+def later_windows(docs: DataFrame, window: int, gram: int, log2: int | None = None) -> DataFrame:
+    """(doc_id, starts), written: starts of windows that a smaller doc_id has too, as little-endian 32-bit integers, in several rows for a document."""
 
     def marks(text: bytes) -> np.ndarray:
         keys = window_keys(text, window, gram)
         return np.unique(keys[2]) if keys else np.zeros(0, np.uint64)  # once for each document
 
-    bits = spark.sparkContext.broadcast(merged_sketch(docs, marks))
+    pre = prefilter(docs, marks, 84, log2)
+    test = pre.test
 
     def let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows estimated repeated. Of equal ones met in this chunk only those of the least doc_id go on; the others are settled here."""
@@ -150,10 +73,10 @@ def later_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), pa.array(ids), blob, pa.array(np.full(len(h), settled))], ["h", "h2", "doc_id", "starts", "settled"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+            for i, t, own in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
                 if i is None or not (keys := window_keys(t, window, gram)):
                     continue
-                at = np.flatnonzero(estimated_repeated(keys[2], bits.value))
+                at = np.flatnonzero(test(keys[2], own))
                 if len(at):
                     held.append((keys[0][at], keys[1][at], np.full(len(at), i, np.int64), at.astype(np.uint32)))
                     if (n := n + len(at)) > CHUNK:
@@ -176,11 +99,13 @@ def later_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(2).filter(keep), b.column(3).filter(keep)], ["doc_id", "starts"])
 
-    sorted_rows = docs.select("doc_id", "text").mapInArrow(let_through, "h long, h2 int, doc_id long, starts binary, settled boolean").repartition("h").sortWithinPartitions("h", "h2", "settled", "doc_id")
-    return sorted_rows.mapInArrow(settle, "doc_id long, starts binary")
+    sorted_rows = pre.docs.mapInArrow(let_through, "h long, h2 int, doc_id long, starts binary, settled boolean").repartition("h").sortWithinPartitions("h", "h2", "settled", "doc_id")
+    out = written(sorted_rows.mapInArrow(settle, "doc_id long, starts binary"), "later-windows")
+    pre.close()
+    return out
 
 
-def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, log2: int | None = None) -> DataFrame:
     """Removes words covered by a window of ``window`` words that also starts in a document with a smaller doc_id.
 
     docs: doc_id, text; further columns pass through. Adds n_words, n_removed and kept (the words that stay, joined by one
@@ -191,26 +116,28 @@ def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Data
     Every window is stood for by the least hash of its ``gram``-word runs, so equal windows have equal marks; the sketch counts
     in how many documents each mark occurs and never too low, so no repeated window is lost. Windows that it lets through are
     grouped exactly by 96 bits of their words; equal windows in one chunk of a task become one row before the shuffle.
+    ``log2``: cells of the sketch, if not by the input's size.
     """
     small_batches(docs.sparkSession)
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    late = later_windows(rows, window, gram).groupBy("doc_id").agg(F.collect_list("starts").alias("_starts"))
-    joined = rows.join(late.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    starts, key = clear(rows, "starts", "key")
+    late = later_windows(rows, window, gram, log2).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("starts").alias(starts))
+    joined = rows.join(late, F.col("doc_id") == F.col(key), "left")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     schema = joined.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for t, starts in zip(b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("_starts"))):
+            for t, later in zip(b.column(b.schema.get_field_index("text")), b.column(len(names))):
                 raw = t.as_py()
                 words = WORD.findall((raw or "").encode())
                 n_words.append(len(words))
-                if starts.as_py():
+                if later.as_py():
                     edge = np.zeros(len(words) + 1, np.int32)
-                    at = np.frombuffer(b"".join(starts.as_py()), "<u4")
+                    at = np.frombuffer(b"".join(later.as_py()), "<u4")
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + window, -1)
                     stay = np.cumsum(edge[:-1]) == 0
@@ -219,10 +146,11 @@ def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> Data
                 kept.append(None if raw is None else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return joined.select(*names, "_starts").mapInArrow(cut, schema)
+    return joined.select(*names, starts).mapInArrow(cut, schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a smaller doc_id has go from all ``documents``: (doc_id, n_words, n_removed, kept_sha256)."""
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

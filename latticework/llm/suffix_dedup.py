@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Rolling, mixed, sliding_min, small_batches, table, texts, written
+from latticework.llm.common import Rolling, clear, mixed, sliding_min, small_batches, table, texts, written
 from latticework.llm.induced_sorting import suffix_order
-from latticework.llm.substring_dedup import estimated_repeated, merged_sketch
+from latticework.llm.sketch import Prefilter, prefilter
 
 GRAM = 32  #: bytes of the strings whose least hash anchors a window
 SHARD = 2 << 20  #: bytes of distinct segments that are sorted together, if one anchor has no more
@@ -80,12 +80,12 @@ def parted(h: np.ndarray, anchor: np.uint64, starts: int, width: int) -> tuple[n
     return mixed(least[first] + anchor), first
 
 
-def segments(docs: DataFrame, window: int, bits, crowded=None) -> DataFrame:
+def segments(pre: Prefilter, window: int, crowded=None) -> DataFrame:
     """Segments whose anchor is estimated to occur twice: all bytes of the stretch's windows. Equal ones of a chunk become one row.
 
     With ``crowded`` (anchors' cells, sorted): (anchor, segment, places), stretches of those anchors in parts. Without: (anchor) of each row.
     """
-    count_only = crowded is None
+    count_only, test = crowded is None, pre.test
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
@@ -102,7 +102,7 @@ def segments(docs: DataFrame, window: int, bits, crowded=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "segment", "places"][: len(columns)])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+            for i, t, own in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist()):
                 if i is None:
                     continue
                 h, least, width = hashes(t, window)
@@ -111,7 +111,7 @@ def segments(docs: DataFrame, window: int, bits, crowded=None) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 anchor = least[first]
                 stops = np.r_[first[1:], len(least)]
-                twice = estimated_repeated(anchor, bits.value)
+                twice = test(anchor, own)
                 full = np.zeros(len(first), bool) if count_only else np.isin(anchor & np.uint64(CROWD_CELLS - 1), crowded.value)
                 for k in np.flatnonzero(twice):
                     if full[k]:
@@ -128,7 +128,7 @@ def segments(docs: DataFrame, window: int, bits, crowded=None) -> DataFrame:
                 size = 0
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "anchor long" if count_only else "anchor long, segment binary, places binary")
+    return pre.docs.mapInArrow(cut, "anchor long" if count_only else "anchor long, segment binary, places binary")
 
 
 def crowded_cells(rows: DataFrame) -> np.ndarray:
@@ -139,11 +139,11 @@ def crowded_cells(rows: DataFrame) -> np.ndarray:
     return np.sort(np.fromiter((r.cell for r in cells.where(F.col("n") >= 8 * mean).toLocalIterator()), np.uint64))
 
 
-def repeats(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, found): starts of repeated windows as (first, count) pairs of little-endian 32-bit integers, several rows for a document."""
+def repeats(docs: DataFrame, window: int, log2: int | None = None) -> DataFrame:
+    """(doc_id, found), written: starts of repeated windows as (first, count) pairs of little-endian 32-bit integers, several rows for a document."""
     sc = docs.sparkSession.sparkContext
-    bits = sc.broadcast(merged_sketch(docs, lambda t: anchor_places(t, window)))  # of fixed size
-    crowded = sc.broadcast(crowded_cells(segments(docs, window, bits)))  # of bounded size
+    pre = prefilter(docs, lambda t: anchor_places(t, window), 184, log2)
+    crowded = sc.broadcast(crowded_cells(segments(pre, window)))  # of bounded size
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor. Anchors are gathered to a shard and sorted together; equal segments count as one."""
@@ -178,26 +178,32 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
         if shard:
             yield from settle()
 
-    rows = segments(docs, window, bits, crowded)
-    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, found binary")
+    rows = segments(pre, window, crowded)
+    out = written(rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "doc_id long, found binary"), "suffix-found")
+    pre.close()
+    crowded.destroy()
+    return out
 
 
-def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 400, log2: int | None = None) -> DataFrame:
     """Removes every byte covered by a ``window``-byte string that also starts anywhere else, in the same or another document.
 
     docs: doc_id, text; further columns pass through. Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary: the bytes
     that stay). Strings are judged on the input, may overlap and never cross documents. Null texts count as empty; shorter texts stay whole.
-    Rows must not share a doc_id; rows with null doc_id stay whole. An empty table gives an empty result.
+    Repeated rows with one doc_id are copies of each other, so all that is long enough goes; rows of different texts must not share a doc_id (an
+    error where they differ in length). Rows with null doc_id stay whole. An empty table gives an empty result.
 
     Equal windows have the same least 32-byte hash, their anchor. Stretches of windows with an anchor that a count-min sketch estimates
     to occur twice go, as one segment of bytes, to the shard of that anchor, where their suffixes are sorted by induction.
     Anchors with far more segments than others are parted by a second least hash, which equal windows share as well.
+    ``log2``: cells of the sketch, if not by the input's size.
     """
     small_batches(docs.sparkSession)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = repeats(docs, window).groupBy("doc_id").agg(F.collect_list("found").alias("_found")).withColumnRenamed("doc_id", "_id")
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left").select(*names, "_found")
+    marks, key = clear(docs, "found", "key")
+    found = repeats(docs, window, log2).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("found").alias(marks))
+    joined = docs.join(found, F.col("doc_id") == F.col(key), "left").select(*names, marks)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,5 +228,22 @@ def without_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 400-byte strings that occur again go from all ``documents``: (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     found = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT doc_id, 400 * k AS base, substr(x, 800 * k + 1, 1598) AS y FROM b, unnest(range(0, (strlen(x) + 799) // 800)) AS r(k)),
+win AS (SELECT doc_id, base + j AS i, md5(substr(y, 2 * j + 1, 800)) AS h FROM parts, unnest(range(0, 400)) AS r(j) WHERE 2 * j + 800 <= strlen(y)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+steps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, e AS s, lead(s) OVER (PARTITION BY doc_id ORDER BY s, e) AS e FROM (SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, 0, 0 FROM b)),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (coalesce(e, strlen(x) // 2) - s)), '' ORDER BY s) AS y FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - s) AS n, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT b.doc_id, (strlen(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(y)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

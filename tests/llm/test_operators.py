@@ -25,12 +25,12 @@ TEXTS = [
     "", None, "  \n\t ", "one", "A b c d e f\nline two here\nline three here\nend", "x y\nline two here\nline three here\nz", f"before {PASSAGE} after", f"other {PASSAGE} tail", f"other {PASSAGE} tail",
     "naïve café ß 🙂 it's  I'LL\r\n\r\n  12345 ", "ab " * 400, "q" * 1500, "the quick brown fox jumps over the lazy dog again and again until night falls", "The Quick brown fox jumps over the lazy dog again and again until night falls",
 ]
-SCHEMA = "doc_id long, text string, n_words string, kept int, ids int, score string"
+SCHEMA = "doc_id long, text string, n_words string, kept int, ids int, score string, key string, starts int, found string, _id int"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(k, t, "clash", 1, 2, "s") for k, t in enumerate(TEXTS)], SCHEMA)
+    return spark.createDataFrame([(k, t, "clash", 1, 2, "s", "k", 3, "f", 4) for k, t in enumerate(TEXTS)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -112,28 +112,34 @@ def test_components_of_a_hub_and_a_path(spark):
     assert found == {**{k: 0 for k in range(60)}, **{k: 100 for k in range(100, 131)}}
 
 
-def test_line_dedup(docs, none):
-    found = {r.doc_id: r for r in line_dedup.without_repeats(docs).collect()}
-    assert found[5].text == "x y\nz" and found[5].n_removed_lines == 2 and found[5].n_words == "clash"
-    assert found[4].text == TEXTS[4] and found[1].text is None and found[8].text == TEXTS[8]
-    assert line_dedup.without_repeats(none).count() == 0
-
-
-def test_single_lines_that_occur_earlier_go(docs):
-    found = {r.doc_id: r for r in line_dedup.without_repeats(docs, run=1).collect()}
-    seen: set[str] = set()
-    for k, t in enumerate(TEXTS):
-        kept = []
-        for line in (t or "").split("\n"):
-            if not line.strip(" \t\r\x0b\x0c") or line not in seen:
-                kept.append(line)
-            seen.add(line)
-        assert found[k].text == (None if t is None else "\n".join(kept))
-    assert found[8].text == "" and found[8].n_removed_lines == 1
-
-
-def test_substring_dedup(docs, none):
-    found = {r.doc_id: r for r in substring_dedup.without_repeats(docs).collect()}
+@pytest.mark.parametrize("least", [1, 10, 24, 60])
+def test_line_dedup(docs, none, spark, least):
+    """Every run of lines is compared with every other."""
+    more = ["a\nbb\nccc\nlonger line of its own here\nd\ne", "x\nbb\nccc\nlonger line of its own here\nd\nq", "bb\nccc\n\nlonger line of its own here\ne", "ab\nab\nab\n" * 6, "a text of one line, copied", "a text of one line, copied"]
+    rows = docs.unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(more)], "doc_id long, text string"), allowMissingColumns=True)
+    rows = rows.unionByName(docs.where("doc_id = 5"))  # a repeated row
+    found = {r.doc_id: r for r in line_dedup.without_repeats(rows, least).collect()}
+    texts = {**dict(enumerate(TEXTS)), **{100 + k: t for k, t in enumerate(more)}}
+    counting = {i: [(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")] for i, t in texts.items()}
+    firsts: dict[tuple, tuple] = {}
+    runs = [(i, s, e) for i, c in counting.items() for s in range(len(c)) for e in range(s + 1, len(c) + 1)]
+    for i, s, e in runs:
+        run = tuple(x for _, x in counting[i][s:e])
+        firsts[run] = min(firsts.get(run, (i, s)), (i, s))
+    gone = defaultdict(set)
+    for i, s, e in runs:
+        run = tuple(x for _, x in counting[i][s:e])
+        if sum(len(x.encode()) for x in run) >= least and firsts[run] < (i, s):
+            gone[i] |= {k for k, _ in counting[i][s:e]}
+    for i, t in texts.items():
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        assert (found[i].text, found[i].n_removed_lines) == (want, len(gone[i]))
+    assert found[4].n_words == "clash" and line_dedup.without_repeats(none, least).count() == 0
+
+
+@pytest.mark.parametrize("log2", [None, 99])  # 99: the sketch stays in the cluster
+def test_substring_dedup(docs, none, log2):
+    found = {r.doc_id: r for r in substring_dedup.without_repeats(docs, log2=log2).collect()}
     seen: dict[tuple, int] = {}
     for k, t in enumerate(TEXTS):
         w = words(t)
@@ -147,10 +153,10 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [1, 512])
-def test_suffix_dedup(docs, none, crowd, monkeypatch):
+@pytest.mark.parametrize(("crowd", "log2"), [(1, None), (512, 99)])
+def test_suffix_dedup(docs, none, crowd, log2, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-    found = {r.doc_id: r for r in suffix_dedup.without_repeats(docs.drop("kept"), 100).collect()}
+    found = {r.doc_id: r for r in suffix_dedup.without_repeats(docs.drop("kept"), 100, log2).collect()}
     raw = [(t or "").encode() for t in TEXTS]
     count = Counter(b[s : s + 100] for b in raw for s in range(len(b) - 99))
     for k, b in enumerate(raw):
@@ -169,6 +175,17 @@ def test_suffix_order(room):
         assert suffix_order(t, 1 << 20, room).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
 
 
+def test_signs_of_linked_vectors_stay_within_the_limit():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r = rng.normal(size=a.shape)
+    r -= (r * a).sum(1, keepdims=True) * a
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    apart = np.bitwise_count((embedding_dedup.signs(a) ^ embedding_dedup.signs(b)).view(np.uint64)).sum(1)
+    assert apart.max() <= embedding_dedup.most_signs(0.95) < 100
+
+
 def test_packing_equals_the_library(docs, none):
     library = Tokenizer.from_file(WORDS)
     by = defaultdict(list)
@@ -235,13 +252,36 @@ def test_nearest(vectors):
     assert ann.nearest(vectors.limit(0), F.lit(True)).count() == 0
 
 
-def test_embedding_links(vectors):
+@pytest.mark.parametrize("of_shape", [None, (20, 3)])
+def test_embedding_links(vectors, of_shape):
     u = unit_rows(vectors)
     links = {k: {j for j in u if j != k and len(u[j]) == len(u[k]) and u[k] @ u[j] >= 0.95} for k in u}
     root = {r.vec_id: r.vec_id for r in vectors.collect()}
     for _ in root:
         root = {k: min([r, *(root[j] for j in links.get(k, ()))]) for k, r in root.items()}
-    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors).collect()}
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors, of_shape=of_shape).collect()}
     assert found.keys() == root.keys()
     assert all((r.n_links, r.component_id, r.kept) == (len(links.get(k, ())), root[k], root[k] == k) for k, r in found.items())
     assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_planted_links_of_64_dimensions_are_found(spark):
+    """Clusters at cosines around the limit among unlike vectors, one group larger than a block's side, repeated rows with one vec_id."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = lambda a, c: c * a + np.sqrt(1 - c * c) * (r := (x := rng.normal(size=64)) - (x @ a) * a) / np.linalg.norm(r)  # noqa: E731, F821
+    rows = [*base, *(near(base[k % 40], c) for k in range(200) for c in (0.951, 0.97)), *(base[50] + rng.normal(size=64) * 0.003 for _ in range(1200))]
+    v = np.array(rows)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    docs = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(docs).collect()}
+    assert [found[k].n_links for k in range(len(v))] == linked.sum(1).tolist()
+    label = np.arange(len(v))
+    while True:
+        low = np.array([min(label[k], label[linked[k]].min(initial=len(v))) for k in range(len(v))])
+        if (low == label).all():
+            break
+        label = low
+    assert [found[k].component_id for k in range(len(v))] == label.tolist()
