@@ -28,18 +28,25 @@ def spans(sizes: np.ndarray, least: int) -> np.ndarray:
     A run of ``least`` bytes or more is the union of the windows inside it: a line from which the run goes on for ``least`` bytes is in
     its window onward; any other has the window back from the run's last line.
     """
-    p = np.r_[0, np.cumsum(sizes)]
     n = len(sizes)
+    own = np.arange(n)
+    if sizes.min(initial=least) >= least:
+        return np.stack([own, own], 1)
+    p = np.r_[0, np.cumsum(sizes)]
     end = np.searchsorted(p, p[:-1] + least, side="left") - 1
-    ahead = np.stack([np.arange(n), end], 1)[end < n]
     start = np.searchsorted(p, p[1:] - least, side="right") - 1
-    back = np.stack([start, np.arange(n)], 1)[start >= 0]
-    return np.unique(np.concatenate([ahead, back]), axis=0)
+    ahead, back = end < n, start >= 0
+    both = np.unique(np.r_[own[ahead] * n + end[ahead], start[back] * n + own[back]])
+    return np.stack([both // n, both % n], 1)
 
 
 def selected(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The line that each window selects: that with its least hash, the last of equal ones."""
-    return np.array([s if s == e else e - int(h[s : e + 1][::-1].argmin()) for s, e in at.tolist()], np.int64)
+    out = at[:, 1].copy()
+    for k in np.flatnonzero(at[:, 0] < at[:, 1]).tolist():
+        s, e = at[k]
+        out[k] = e - int(h[s : e + 1][::-1].argmin())
+    return out
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -47,21 +54,25 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            ids, ends, h, sizes = [], [0], [], []
             for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 counting = [x for x in t.split(b"\n") if x.strip()] if i is not None else []
                 if counting:
-                    rows.append((i, np.array([xxhash.xxh64_intdigest(x) for x in counting], np.uint64).view(np.int64), np.array([len(x) for x in counting], np.int32)))
-            if rows:
-                ids, h, sizes = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "h", "size"])
+                    ids.append(i)
+                    h += map(xxhash.xxh64_intdigest, counting)
+                    sizes += map(len, counting)
+                    ends.append(len(h))
+            if ids:
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "h", "size"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h array<long>, size array<int>")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for i, h, size in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-        yield i, h.values.to_numpy().view(np.uint64), size.values.to_numpy().astype(np.int64)
+    h, size, cuts = b.column(1).flatten().to_numpy().view(np.uint64), b.column(2).flatten().to_numpy().astype(np.int64), b.column(1).offsets.to_numpy()
+    for i, s, e in zip(b.column(0).to_pylist(), (cuts - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist()):
+        yield i, h[s:e], size[s:e]
 
 
 def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
@@ -78,7 +89,9 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
         for b in batches:
             fps, ids, lines = [], [], []
             for i, h, size in _rows(b):
-                at = np.unique(selected(h, spans(size, least)))
+                at = selected(h, spans(size, least))
+                if (at[1:] <= at[:-1]).any():
+                    at = np.unique(at)
                 fps.append(h[at].view(np.int64))
                 ids.append(np.full(len(at), i, np.int64))
                 lines.append(at.astype(np.int32))
@@ -92,9 +105,12 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            for (i, h, size), at in zip(_rows(b), b.column(3)):
+            cuts, lines = b.column(3).offsets.to_numpy(), b.column(3).flatten().to_numpy()
+            for k, (i, h, size) in enumerate(_rows(b)):
+                hit = np.zeros(len(h), bool)
+                hit[lines[cuts[k] - cuts[0] : cuts[k + 1] - cuts[0]]] = True
                 both = spans(size, least)
-                both = both[np.isin(selected(h, both), at.values.to_numpy())]
+                both = both[hit[selected(h, both)]]
                 if not len(both):
                     continue
                 s, e = both[:, 0], both[:, 1] + 1

@@ -171,7 +171,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    pre = prefilter(docs, lambda t: shingles(t, shingle), 6)
+    pre = prefilter(docs, lambda t: shingles(t, shingle), 6, wide=False)
     test = pre.test
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,17 +122,20 @@ class Prefilter:
             self.held.destroy()
 
 
-def prefilter(docs: DataFrame, marks_of: Marks, spacing: int, log2: int | None = None) -> Prefilter:
+def prefilter(docs: DataFrame, marks_of: Marks, spacing: int, log2: int | None = None, wide: bool = True) -> Prefilter:
     """The test says for which marks of a text the estimated count is 2 or more; all that truly occur twice are among them.
 
     ``spacing``: bytes of text for each mark, about. The sketch gets ``ROOM`` cells a mark, from a sum of text lengths; up to
     2**MOST_LOG2 cells a row it is merged to bit maps and broadcast. Beyond that, cells are counted by a shuffle of one number a mark and
-    each document takes its own repeated ones along, so that the prefilter passes few at any size.
+    each document takes its own repeated ones along, so that the prefilter passes few at any size. Without ``wide`` the bit maps stop growing
+    there and pass more: for marks so dense that shuffling them costs what the second pass would.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if log2 is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         log2 = max(LEAST_LOG2, int(ROOM * size / spacing).bit_length())
+        if not wide:
+            log2 = min(log2, MOST_LOG2)
     if log2 > MOST_LOG2:
 
         def test(marks: np.ndarray, own: list[int] | None) -> np.ndarray:
