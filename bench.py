@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from latticework.plans import registry
 
-HEADLINE = ("part_graph_strong", "laplacian", "galerkin", "smooth_filter", "norm_laplacian", "spmm", "feature_graph", "graph_fusion", "conductance", "clustering_coefficient", "node2vec_transition", "connected_components", "nodal_energy", "param_summary", "best_config", "speedup_vs_baseline")
+HEADLINE = ("part_graph_strong", "laplacian", "galerkin", "smooth_filter", "norm_laplacian", "spmm", "feature_graph", "graph_fusion", "conductance", "clustering_coefficient", "node2vec_transition", "connected_components", "nodal_energy", "param_summary", "best_config", "speedup_vs_baseline", "spectral_filter", "refinement", "reweight_edges", "spmm_dense", "hierarchy_complexity")
 
 
 def main() -> None:

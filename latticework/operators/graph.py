@@ -82,6 +82,20 @@ def strong(edges: DataFrame, share: float = 0.1) -> DataFrame:
     return e.where(F.abs("w") >= share * F.least("bi", "bj")).select("i", "j", "w")
 
 
+def large_entries(edges: DataFrame, share: float) -> DataFrame:
+    """Edges whose weight is at least ``share`` of the greater of both ends' largest weights."""
+    top = both_ways(edges).groupBy("i").agg(F.max(F.abs("v")).alias("b"))
+    e = edges.join(top.withColumnRenamed("b", "bi"), "i").join(top.select(F.col("i").alias("j"), F.col("b").alias("bj")), "j")
+    return e.where(F.abs("w") >= share * F.greatest("bi", "bj")).select("i", "j", "w")
+
+
+def as_laplacian(matrix: DataFrame) -> DataFrame:
+    """The Laplacian of a symmetric matrix: with a non-zero diagonal it counts as a pattern of weight 1, without one by absolute values."""
+    flag = matrix.agg((F.count_if((F.col("i") == F.col("j")) & (F.col("v") != 0)) > 0).alias("diagonal"))
+    w = matrix.where("i <> j").join(F.broadcast(flag)).select("i", "j", F.when(F.col("diagonal"), 1.0).otherwise(F.abs("v")).alias("v"))  # flag: one row
+    return w.groupBy("i").agg(F.sum("v").alias("v")).select("i", F.col("i").alias("j"), "v").unionAll(w.select("i", "j", (-F.col("v")).alias("v")))
+
+
 def second_neighbours(edges: DataFrame) -> DataFrame:
     """Distinct ordered pairs at distance two by way of some node."""
     a = both_ways(edges).select("i", "j")
@@ -89,10 +103,14 @@ def second_neighbours(edges: DataFrame) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """Each triangle once, a < b < c."""
-    e = edges.select(F.col("i").alias("a"), F.col("j").alias("b"))
-    wedge = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    return wedge.join(e.select("a", F.col("b").alias("c")), ["a", "c"]).select("a", "b", "c")
+    """Each triangle once, its nodes by ascending degree. Edges point to the end of higher degree, so that no node starts more than the
+    square root of twice the number of edges, hubs included."""
+    d = degrees(edges).select("id", "degree")
+    e = edges.join(d.select(F.col("id").alias("i"), F.col("degree").alias("di")), "i").join(d.select(F.col("id").alias("j"), F.col("degree").alias("dj")), "j")
+    up = (F.col("di") < F.col("dj")) | ((F.col("di") == F.col("dj")) & (F.col("i") < F.col("j")))
+    e = e.select(F.when(up, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(up, F.col("j")).otherwise(F.col("i")).alias("b"), F.when(up, F.col("dj")).otherwise(F.col("di")).alias("degree"))
+    wedge = e.alias("x").join(e.alias("y"), (F.col("x.a") == F.col("y.a")) & (F.struct("x.degree", "x.b") < F.struct("y.degree", "y.b"))).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("y.b").alias("c"))
+    return wedge.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).select("a", "b", "c")
 
 
 def clustering_coefficients(edges: DataFrame) -> DataFrame:

@@ -3,33 +3,73 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from latticework.operators.graph import both_ways, degrees, times_vector
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only in a single process where the session names none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='latticework-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Cuts lineage by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='latticework-')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, component), component the smallest node id: each round takes the least label of the neighbours and then that label's own label."""
-    a = both_ways(edges).select("i", "j")
-    now = checkpointed(nodes.select("id", F.col("id").alias("component")))
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, number): running numbers of distinct ids in their order, by ranges: a count for each range, then places within it."""
+    parts = checkpointed(ids.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
+    return parts.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).alias("number"))
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame, salts: int = 8) -> DataFrame:
+    """(id, component), component the smallest node id.
+
+    Only edges are iterated: a large-star step, then a small-star step, both over (node, smaller node) pairs, until they don't change. The
+    least neighbour of a node goes to ``salts`` tasks, so that a hub's edges don't land in one. Nodes without edges are their own component.
+    """
+    pair = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        ends = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        ends = ends.unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else ends
+        least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        each = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        moved = ends.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(each, ["u", "salt"]).where("v > u" if large else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        return pair(moved if large else moved.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))))
+
+    now, before = checkpointed(pair(edges.select(F.col("i").alias("a"), F.col("j").alias("b")))), None
     while True:
-        seen = a.join(now.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id")).agg(F.min("component").alias("near"))
-        low = now.join(seen, "id", "left").select("id", "component", F.least("component", "near").alias("new"))
-        jump = now.select(F.col("id").alias("new"), F.col("component").alias("to"))
-        after = checkpointed(low.join(jump, "new").select("id", F.least("new", "to").alias("component"), (F.least("new", "to") != F.col("component")).alias("moved")))
-        now = after.select("id", "component")
-        if not after.where("moved").limit(1).count():
-            return now
+        now = checkpointed(star(star(now, True), False))
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if seen == before:
+            break
+        before = seen
+    return nodes.join(now.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def independent_set(edges: DataFrame, nodes: DataFrame, most: int = 4) -> DataFrame:
@@ -73,29 +113,33 @@ def conjugate_gradients(matrix: DataFrame, b: DataFrame, steps: int = 2000, tole
 
 
 def weighted_walks(edges: DataFrame, nodes: DataFrame, walks: int = 2, length: int = 5) -> DataFrame:
-    """(walk, id, step, node): from each node, ``length`` steps with probability proportional to weight; isolated nodes repeat themselves."""
-    from pyspark.sql.window import Window
+    """(walk, id, step, node): from each node, ``length`` steps with probability proportional to weight; isolated nodes repeat themselves.
 
+    A node's neighbours are one row, an array by ascending id with cumulative weights; a step is a join with that row and a search in it.
+    """
     from latticework.operators.graph import uniform
 
-    w = Window.partitionBy("i").orderBy("j")
-    upto = both_ways(edges).select("i", "j", F.sum("v").over(w).alias("high"), F.sum("v").over(Window.partitionBy("i")).alias("total"), "v")
+    near = both_ways(edges).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("near"))
+    running = F.aggregate("near", F.array().cast("array<double>"), lambda held, x: F.concat(held, F.array(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0.0)) + x["v"])))
+    table = checkpointed(near.select("i", F.transform("near", lambda x: x["j"]).alias("to"), running.alias("upto")))
     now = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), "id", F.lit(0).alias("step"), F.col("id").alias("node"))
     out = now
     for step in range(1, length + 1):
         u = uniform(F.col("id") * 31 + F.col("walk") * 17 + step, step)
-        move = now.withColumn("u", u).join(upto, F.col("node") == F.col("i"), "left").where("i is null or (u * total >= high - v and u * total < high)")
-        now = checkpointed(move.select("walk", "id", F.lit(step).alias("step"), F.coalesce("j", "node").alias("node")))
+        aim = F.col("u") * F.element_at("upto", -1)
+        place = F.least(F.size(F.filter("upto", lambda x: x <= aim)) + 1, F.size("upto"))
+        move = now.withColumn("u", u).join(table, F.col("node") == F.col("i"), "left")
+        now = checkpointed(move.select("walk", "id", F.lit(step).alias("step"), F.when(F.col("i").isNull(), F.col("node")).otherwise(F.element_at("to", place)).alias("node")))
         out = out.unionAll(now)
     return out
 
 
-def embed(walks: DataFrame, size: int = 16, window: int = 5, seed: int = 1) -> DataFrame:
-    """(id, vector) by skip-gram over walks."""
+def embed(walks: DataFrame, size: int = 16, window: int = 5, seed: int = 1, partitions: int = 1) -> DataFrame:
+    """(id, vector) by skip-gram over walks; with more ``partitions`` each trains on its walks and vectors are averaged."""
     from pyspark.ml.feature import Word2Vec
 
     paths = walks.groupBy("walk", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda s: s["node"].cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=1, numPartitions=1, seed=seed, inputCol="path", outputCol="v").fit(paths)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=1, numPartitions=partitions, seed=seed, inputCol="path", outputCol="v").fit(paths)
     return model.getVectors().select(F.col("word").cast("long").alias("id"), "vector")
 
 

@@ -136,12 +136,6 @@ def _(s, d):
     return table(s, d, "events").where("value > 0").select("user_id", "event_id", r6(F.col("value") / F.min("value").over(w)).alias("increase"))
 
 
-@add("conv_factor", "SELECT user_id, event_id, round(value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) AS factor FROM events WHERE value > 0")
-def _(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(s, d, "events").where("value > 0").select("user_id", "event_id", F.round(F.col("value") / F.lag("value").over(w), 4).alias("factor"))
-
-
 @add("trapz", "SELECT user_id, round(sum(a), 3) AS area FROM (SELECT user_id, (value + lag(value) OVER w) / 2 * (n - lag(n) OVER w) AS a FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY n)) GROUP BY 1")
 def _(s, d):
     n = table(s, d, "events").select("user_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))

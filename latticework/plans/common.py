@@ -24,3 +24,9 @@ class Queries(dict):
 def r6(c: str | Column) -> Column:
     """Six decimals, and no negative zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def same(c: Column, digits: int) -> Column:
+    """``digits`` decimals, halves up by floor: a rule that does not depend on an engine's rounding of ties."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5).cast("double") / scale

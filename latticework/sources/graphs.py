@@ -59,6 +59,35 @@ def union(a: DataFrame, b: DataFrame, offset: int, bridge: tuple[int, int, float
     return a.unionByName(moved).unionByName(a.sparkSession.createDataFrame([bridge], "i long, j long, w double"))
 
 
+def planted(spark: SparkSession, n: int, blocks: int, inside: float, across: float) -> DataFrame:
+    """A planted partition: node k is in block k modulo ``blocks``; a pair is an edge by a hash below its probability."""
+    from latticework.operators.graph import uniform
+
+    pairs = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.col("id") + 1, F.lit(n).cast("long"))).alias("j")).where(F.col("j") < n)
+    p = F.when(F.col("i") % blocks == F.col("j") % blocks, inside).otherwise(across)
+    return pairs.where(uniform(F.col("i") * 7919 + F.col("j"), 3) < p).withColumn("w", F.lit(1.0))
+
+
+def read_coordinates(spark: SparkSession, path_: str) -> DataFrame:
+    """(id, x, y) of the "node id x y ..." lines of a plain graph drawing."""
+    part = F.split(F.trim("value"), r"\s+")
+    return spark.read.text(path_).where("value rlike '^node '").select(part[1].cast("long").alias("id"), part[2].cast("double").alias("x"), part[3].cast("double").alias("y"))
+
+
+def read_graph(spark: SparkSession, path_: str) -> DataFrame:
+    """Edges of a file by its ending: .mtx (a Laplacian), .json, .dimacs, .graph, .cc or .parquet."""
+    from latticework.operators.graph import adjacency
+
+    readers = {
+        "mtx": lambda: adjacency(read_matrix_market(spark, path_)), "json": lambda: read_node_link(spark, path_)[1], "dimacs": lambda: read_dimacs(spark, path_), "graph": lambda: read_chaco(spark, path_),
+        "cc": lambda: adjacency(read_compressed_column(spark, path_)), "parquet": lambda: spark.read.parquet(path_).select("i", "j", "w"),
+    }
+    ending = path_.rstrip("/").rpartition(".")[2].lower()
+    if ending not in readers:
+        raise ValueError(f"no reader for .{ending}")
+    return readers[ending]()
+
+
 def read_matrix_market(spark: SparkSession, path_: str) -> DataFrame:
     """(i, j, v), 0-based, of a coordinate file; lines of "%" and the size line are left out, missing values are 1 and a symmetric header is expanded."""
     lines = spark.read.text(path_).withColumn("n", F.monotonically_increasing_id())

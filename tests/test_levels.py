@@ -80,3 +80,48 @@ def test_cg_solve_meets_its_tolerance(spark):
 def test_conjugate_gradients_raise_at_the_limit(spark):
     with pytest.raises(ArithmeticError):
         lv.effective_resistance(src.path(spark, 10, 1.0), 0, 9, 3)
+
+
+def test_text_formats_with_headers_and_comments(spark, tmp_path):
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix coordinate real symmetric\n% comment\n3 3 2\n2 1 -1.5\n3 3 2\n")
+    assert {tuple(r) for r in src.read_matrix_market(spark, str(tmp_path / "a.mtx")).collect()} == {(1, 0, -1.5), (0, 1, -1.5), (2, 2, 2.0)}
+    (tmp_path / "b.mtx").write_text("2 3 3\n1 1\n1 2\n2 3\n")
+    assert {tuple(r) for r in src.read_matrix_market(spark, str(tmp_path / "b.mtx")).collect()} == {(0, 0, 1.0), (0, 1, 1.0), (1, 2, 1.0)}
+    (tmp_path / "c.json").write_text('{"nodes": [{"id": 0, "val": false, "test": true}, {"id": 1}], "links": [{"source": 1, "target": 0}, {"source": 0, "target": 0}]}')
+    nodes, edges = src.read_node_link(spark, str(tmp_path / "c.json"))
+    assert {r.id for r in nodes.collect()} == {0, 1} and [tuple(r) for r in edges.collect()] == [(0, 1, 1.0)]
+    (tmp_path / "d.dimacs").write_text("c comment\np edge 3 2\ne 1 2\na 3 2 4.5\n")
+    assert {tuple(r) for r in src.read_graph(spark, str(tmp_path / "d.dimacs")).collect()} == {(0, 1, 1.0), (1, 2, 4.5)}
+    with pytest.raises(ValueError):
+        src.read_graph(spark, "x.unknown")
+
+
+def test_triangles_of_a_hub(spark):
+    edges = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(1, 59)]
+    found = g.triangles(spark.createDataFrame([(i, j, 1.0) for i, j in edges], "i long, j long, w double")).collect()
+    assert sorted(tuple(sorted(r)) for r in found) == [(0, k, k + 1) for k in range(1, 59)]
+
+
+def test_walks_follow_edges_with_their_weights(spark):
+    from latticework.operators import iterative as it
+
+    edges = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0), (1, 2, 1.0)], "i long, j long, w double")
+    rows = it.weighted_walks(edges, spark.range(4), 300, 1).where("step = 1").collect()
+    assert {r.node for r in rows if r.id == 3} == {3} and {r.node for r in rows if r.id == 0} == {1, 2}
+    assert 0.65 < np.mean([r.node == 2 for r in rows if r.id == 0]) < 0.85
+
+
+def test_running_numbers(spark):
+    from latticework.operators import iterative as it
+
+    found = it.numbered(spark.createDataFrame([(k * 7,) for k in range(500)], "id long")).collect()
+    assert {r.id: r.number for r in found} == {k * 7: k for k in range(500)}
+
+
+def test_late_events_count_within_the_watermark(spark, tmp_path):
+    from latticework.streaming import edges as stream
+
+    rows = [(1, "2024-01-01 10:00:00", 5, "a", 1.0), (2, "2024-01-03 10:00:00", 5, "a", 2.0), (3, "2024-01-01 12:00:00", 5, "a", 4.0), (4, None, 5, "b", 8.0)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    found = stream.after_all(spark, str(tmp_path / "events.parquet"), f"file://{tmp_path}/scratch").collect()
+    assert sorted((str(r.day), r.n, r.w) for r in found) == [("2024-01-01 00:00:00", 2, 5.0), ("2024-01-03 00:00:00", 1, 2.0)]
