@@ -99,7 +99,8 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (fps, ids, lines)], ["fp", "doc_id", "line"])
 
     positions = marked.mapInArrow(select, "fp long, doc_id long, line int")
-    often = positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    # counted apart from the join, which can then split the positions of a hot line
+    often = written(positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "line-often")
     joined = positions.join(often, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("at"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,9 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["w1", "w2", "doc_id", "first", "last"])
 
     windows = marked.join(joined, "doc_id").select("doc_id", "h", "size", "at").mapInArrow(extend, "w1 long, w2 long, doc_id long, first int, last int")
+    windows = written(windows, "line-windows")
     place = F.struct("doc_id", "first")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earliest = written(windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-earliest")
     return windows.join(earliest, ["w1", "w2"]).where(place > F.col("least")).select("doc_id", "first", "last")
 
 
