@@ -37,6 +37,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table of the shared folder. Unlike a checkpoint, it doesn't hand on constraints that grow from round to round."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(ids: DataFrame) -> DataFrame:
     """(id, number): running numbers of distinct ids in their order, by ranges: a count for each range, then places within it."""
     parts = checkpointed(ids.repartitionByRange("id").select("id", F.spark_partition_id().alias("part")))

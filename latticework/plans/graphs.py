@@ -304,10 +304,11 @@ def _(s, d):
     return it.independent_set(edges(s, d), nodes(s, d), 20)
 
 
-@add("cg_solve")
+@add("cg_solve", f"{RECURSIVE}, {REACH} SELECT id, round(x - avg(x) OVER (PARTITION BY component), 6) + 0.0 AS x FROM x JOIN k USING (id) JOIN d USING (id)")
 def _(s, d):
+    """Right-hand side L x: from zero, the solution is x less its mean over each component."""
     l = it.checkpointed(g.laplacian(edges(s, d)))
-    return it.conjugate_gradients(l, g.times_vector(l, signal(s, d)))
+    return it.conjugate_gradients(l, g.times_vector(l, signal(s, d))).select("id", r6("x").alias("x"))
 
 
 @add("weighted_walk")

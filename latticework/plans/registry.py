@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.plans import analytics, features, formats, graphs, levels, measures, samples
+from latticework.plans import analytics, features, formats, graphs, levels, measures, multigrid, samples
 
 FLAGSHIP = "galerkin"
-_ALL = {**graphs.QUERIES, **features.QUERIES, **levels.QUERIES, **analytics.QUERIES, **measures.QUERIES, **samples.QUERIES, **formats.QUERIES}
+_ALL = {**graphs.QUERIES, **features.QUERIES, **levels.QUERIES, **analytics.QUERIES, **measures.QUERIES, **samples.QUERIES, **formats.QUERIES, **multigrid.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
