@@ -20,13 +20,6 @@ QUERIES = Queries()
 add = QUERIES.add
 
 
-@add("aggregation_sweep")
-def _(s, d):
-    """By seven smoothed test vectors; the tests hold the operator against a plain version."""
-    e, n = it.checkpointed(edges(s, d)), nodes(s, d)
-    return mg.aggregation_sweep(e, n, lv.test_vectors(e, n), 7)
-
-
 @add("energy_flat", f"{WITH}, b AS (SELECT i AS id, sum(v * x) AS x FROM l JOIN x ON x.id = j GROUP BY 1) SELECT cluster AS id, round(sum(x) * 4 / 3, 6) + 0.0 AS x FROM b JOIN s USING (id) GROUP BY 1")
 def _(s, d):
     b = g.times_vector(g.laplacian(edges(s, d)), signal(s, d))
@@ -63,22 +56,6 @@ def _(s, d):
     return u.join(mean, "component").select("id", r6(F.col("u") - F.col("m")).alias("x"))
 
 
-@add("multigrid_cycle")
-def _(s, d):
-    """(cycle, residual) of three cycles for the right-hand side L x, starting at zero."""
-    e = it.checkpointed(edges(s, d))
-    levels, coarsest = mg.aggregated_levels(e, nodes(s, d))
-    matrix = it.checkpointed(g.laplacian(e))
-    b = it.checkpointed(nodes(s, d).join(g.times_vector(matrix, signal(s, d)), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")))
-    x = b.select("id", F.lit(0.0).alias("x"))
-    found = []
-    for k in range(4):
-        if k:
-            x = mg.cycle(levels, coarsest, x, b)
-        found.append((k, mg.residual(matrix, x, b).agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]))
-    return s.createDataFrame(found, "cycle long, residual double")
-
-
 @add("restricted_eigenspace")
 def _(s, d):
     found = mg.restricted_eigenspace(g.laplacian(edges(s, d)), lv.random_vectors(nodes(s, d), 4), 4)
