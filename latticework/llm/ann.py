@@ -183,6 +183,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, curves: int = 4, reach: in
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest rows of all ``embeddings`` for each vec_id divisible by 50: (query_id, rank, vec_id, score)."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 

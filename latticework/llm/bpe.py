@@ -205,6 +205,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> Da
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` encoded and decoded: (doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row; null texts have no tokens."""
     import public_tokenizers
 
     found = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

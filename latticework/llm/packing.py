@@ -118,6 +118,7 @@ def digests(packed: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power-of-two pieces of all ``documents``: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset); null texts are one piece, the end id alone."""
     import public_tokenizers
 
     return digests(pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

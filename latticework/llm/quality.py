@@ -109,7 +109,8 @@ def train(good: list[str], bad: list[str], prior: float, rank: int = 8, epochs:
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     """Adds score (0 to 1, higher: better) to ``docs``, which has a column text and no column _score; all columns pass through.
 
-    Whole texts; null counts as empty; empty texts get the score of their statistics alone. Repeated rows get equal scores.
+    Whole texts; null counts as empty; empty texts get the score of their statistics alone. Repeated rows get
+    equal scores, and so do texts with the same features (ties). No rows: an empty result.
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)  # of fixed size
@@ -133,6 +134,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Machine:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``: (doc_id, held_out, score, predicted), trained on labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     found = scored(docs.select("doc_id", "text"), fitted(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -217,5 +217,6 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` linked at 4 bits or fewer: (doc_id, fingerprint, component_id), one row for each row; null texts have fingerprint zero."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
