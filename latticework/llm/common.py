@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: everything between ASCII white space.
@@ -52,6 +52,23 @@ def clear(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, which has one row for each of some keys and in ``size`` how many of all ``total`` rows have it; null for the rest.
+
+    Keys with a thousandth of the rows or more, a thousand keys at most, are broadcast. Their rows then go to the join with the others by ``spread``, a
+    column that tells rows apart, so that no hot key lands in one task.
+    """
+    facts = [c for c in groups.columns if c != key]
+    renamed = groups.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in facts))
+    is_hot = F.col(f"_{size}") * 1000 >= F.lit(total)
+    hot = renamed.where(is_hot).select(F.col("_key").alias("_hot"), F.struct(*(f"_{c}" for c in facts)).alias("_facts"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    met = met.withColumn("_to", F.when(F.col("_hot").isNull(), F.xxhash64(key)).otherwise(spread)).withColumn("_cold", F.when(F.col("_hot").isNull(), F.col(key)))
+    cold = renamed.where(~is_hot).withColumn("_at", F.xxhash64("_key"))
+    met = met.join(cold, (F.col("_to") == F.col("_at")) & (F.col("_cold") == F.col("_key")), "left")
+    return met.select(*rows.columns, *(F.coalesce(f"_facts._{c}", f"_{c}").alias(c) for c in facts))
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     for x in column.cast(pa.large_binary()):

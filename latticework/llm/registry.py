@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import ann, bpe, embedding_dedup, line_dedup, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, toxicity
+from latticework.llm import ann, bpe, centroids, embedding_dedup, exact_dedup, filter_audit, line_dedup, packing, quality, simhash_dedup, substring_dedup, suffix_dedup, toxicity
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+        "op13_centroid_clustering": centroids.op13_centroid_clustering,
         "pipeline": _pipeline,
     }
 
@@ -38,4 +41,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_ann": ann.OP6_SQL,
         "op9_suffix_dedup": suffix_dedup.OP9_SQL,
         "op10_embedding_dedup": embedding_dedup.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
+        "op13_centroid_clustering": centroids.OP13_SQL,
     }
