@@ -67,8 +67,8 @@ def bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return flat + (up - across) ** 2 - slack, flat + (up + across) ** 2 + slack
 
 
-def nearest(x: np.ndarray, apexes: np.ndarray, centres: np.ndarray, centre_apexes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each row's nearest centre (ties: the smaller number), its squared distance in whole numbers, and how many distances were taken."""
+def nearest(x: np.ndarray, apexes: np.ndarray, centres: np.ndarray, centre_apexes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's nearest centre (ties: the smaller number), its squared distance in whole numbers, and how many distances were taken for it."""
     low, high = bounds(apexes, centre_apexes)
     left = low <= high.min(1, keepdims=True)
     best = np.full(len(x), np.iinfo(np.int64).max)
@@ -78,7 +78,7 @@ def nearest(x: np.ndarray, apexes: np.ndarray, centres: np.ndarray, centre_apexe
         d = ((x[rows] - centres[c]) ** 2).sum(1)
         closer = d < best[rows]
         best[rows[closer]], to[rows[closer]] = d[closer], c
-    return to, best, int(left.sum())
+    return to, best, left.sum(1)
 
 
 def _whole(batch: pa.RecordBatch, column: int, dimensions: int, kind) -> np.ndarray:
@@ -105,7 +105,7 @@ def seeds(rows: DataFrame, k: int, salt: int = 1) -> np.ndarray:
     return np.array([r.x for r in top], np.int64)
 
 
-def clustered(vectors: DataFrame, k: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64, pivots: int = 8, id_: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
+def clustered(vectors: DataFrame, k: int = 16, rounds: int = 3, dimensions: int = 64, scale: int = 64, pivots: int = 16, id_: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
     """(id, cluster, distance, compared) of each kept vector after ``rounds`` of moving ``k`` centroids, and the centroids (rows of whole numbers).
 
     The vectors' apexes over the first centroids as pivots are computed once and stored; each round is one pass that needs only them and the centroids
@@ -127,7 +127,7 @@ def clustered(vectors: DataFrame, k: int = 16, rounds: int = 3, dimensions: int
     cached = written(rows.mapInArrow(project, "id long, x array<long>, apex array<double>"), "apexes")
     width = len(simplex.pivots) + 1
 
-    def assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, int]]:
+    def assign(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         at = simplex.apexes(simplex.distances(centres))
         for b in batches:
             if b.num_rows:
@@ -157,8 +157,7 @@ def clustered(vectors: DataFrame, k: int = 16, rounds: int = 3, dimensions: int
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _, to, d, compared in assign(batches, centres):
-            share = np.full(len(to), compared // max(1, len(to)), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to), pa.array(d), pa.array(share)], ["id", "cluster", "distance", "compared"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to), pa.array(d), pa.array(compared.astype(np.int32))], ["id", "cluster", "distance", "compared"])
 
     return cached.mapInArrow(last, "id long, cluster int, distance long, compared int"), centres
 
