@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +9,6 @@ from latticework.functions import vectors as vec
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 
-MOST_DENSE = 4000  #: rows of a matrix whose eigenvalues the driver takes
-
 
 def times_columns(matrix: DataFrame, x: DataFrame) -> DataFrame:
     """(id, c, x) of the product with a dense matrix."""
@@ -177,30 +174,9 @@ def scored(x: DataFrame, c: float = 1.0) -> DataFrame:
     return model.transform(rows).groupBy("train").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-def eigenvalues(matrix: DataFrame) -> np.ndarray:
-    """Ascending eigenvalues of a symmetric matrix of at most ``MOST_DENSE`` rows; larger ones are an error, not cut."""
-    ids = [r.i for r in matrix.select("i").distinct().orderBy("i").limit(MOST_DENSE + 1).collect()]
-    if len(ids) > MOST_DENSE:
-        raise ValueError(f"more than {MOST_DENSE} rows")
-    at = {k: n for n, k in enumerate(ids)}
-    dense = np.zeros((len(ids), len(ids)))
-    for r in matrix.toLocalIterator():
-        dense[at[r.i], at[r.j]] += r.v
-    return np.linalg.eigvalsh(dense)
-
-
-def spectral_report(matrix: DataFrame) -> DataFrame:
-    """One row: zero eigenvalues (components), the first other than the first (fiedler), gap, mixing time and conductance bound."""
-    e = eigenvalues(matrix)
-    fiedler = float(e[1]) if len(e) > 1 else None
-    gap = float(e[2] - e[1]) if len(e) > 2 else None
-    row = (int((e < 1e-8).sum()), fiedler, gap, 1 / fiedler if fiedler and fiedler > 1e-8 else None, fiedler / 2 if fiedler is not None else None)
-    return matrix.sparkSession.createDataFrame([row], "components long, fiedler double, gap double, mixing double, conductance_bound double")
-
-
-def effective_resistance(edges: DataFrame, a: int, b: int, steps: int = 2000) -> DataFrame:
+def effective_resistance(edges: DataFrame, a: int, b: int, steps: int = 2000, tolerance: float = 1e-12) -> DataFrame:
     """One row: x_a - x_b where L x = e_a - e_b; both must be in one component."""
     l = it.checkpointed(g.laplacian(edges))
     ends = l.select(F.col("i").alias("id")).distinct().select("id", F.when(F.col("id") == a, 1.0).when(F.col("id") == b, -1.0).otherwise(0.0).alias("x"))
-    x = it.conjugate_gradients(l, ends, steps)
+    x = it.conjugate_gradients(l, ends, steps, tolerance)
     return x.agg(F.sum(F.when(F.col("id") == a, F.col("x")).when(F.col("id") == b, -F.col("x"))).alias("resistance"))

@@ -304,11 +304,12 @@ def _(s, d):
     return it.independent_set(edges(s, d), nodes(s, d), 20)
 
 
-@add("cg_solve", f"{RECURSIVE}, {REACH} SELECT id, floor((x - avg(x) OVER (PARTITION BY component)) * 100 + 0.3217) / 100 AS x FROM x JOIN k USING (id) JOIN d USING (id)")
+@add("cg_solve", f"{RECURSIVE}, {REACH}, y AS (SELECT id, {u_sql('id', 11)} AS y FROM n) SELECT id, round(y - avg(y) OVER (PARTITION BY component), 6) + 0.0 AS x FROM y JOIN k USING (id) JOIN d USING (id)")
 def _(s, d):
-    """Right-hand side L x: from zero, the solution is x less its mean over each component; two decimals, cut off where no mean of a small component falls on a tie."""
+    """Right-hand side L y for hashed numbers y: from zero, the solution is y less its mean over each component."""
     l = it.checkpointed(g.laplacian(edges(s, d)))
-    return it.conjugate_gradients(l, g.times_vector(l, signal(s, d))).select("id", (F.floor(F.col("x") * 100 + 0.3217) / 100).alias("x"))
+    y = nodes(s, d).select("id", g.uniform(F.col("id"), 11).alias("x"))
+    return it.conjugate_gradients(l, g.times_vector(l, y), tolerance=1e-12).select("id", r6("x").alias("x"))
 
 
 @add("weighted_walk")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.operators import graph as g
+from latticework.operators import iterative as it
 from latticework.operators import levels as lv
+from latticework.operators import spectra as sp
 from latticework.plans.common import Queries, r6
 from latticework.plans.features import V_SQL, vectors
-from latticework.plans.graphs import RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
+from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
 from latticework.sources import graphs as src
 
 QUERIES = Queries()
@@ -109,19 +111,37 @@ def _(s, d):
 
 @add("eigen_small")
 def _(s, d):
-    e = lv.eigenvalues(g.galerkin(g.laplacian(edges(s, d)), assign(s, d)))
-    return s.createDataFrame([(k, round(float(x), 6) + 0.0) for k, x in enumerate(e)], "k long, value double")
+    """The zero eigenvalues of the whole part graph's Laplacian, as many as components, and the five smallest others."""
+    zeros, found = sp.laplacian_spectrum(edges(s, d, 1), nodes(s, d))
+    zero = s.range(zeros).select(F.col("id").cast("long").alias("k"), F.lit(0.0).alias("value"))
+    return zero.unionByName(s.createDataFrame([(zeros + k, round(float(x), 6)) for k, x in enumerate(found.values)], "k long, value double"))
 
 
 @add("spectral_report")
 def _(s, d):
-    return lv.spectral_report(g.galerkin(g.laplacian(edges(s, d)), assign(s, d)))
+    """Components, fiedler value, gaps, mixing time and conductance bound of the part graph with edges of two or more orders."""
+    zeros, found = sp.laplacian_spectrum(edges(s, d), nodes(s, d), 2)
+    return s.createDataFrame([sp.report(zeros, found.values)], "components long, fiedler double, gap double, first_gap double, mixing double, conductance_bound double")
 
 
-@add("effective_resistance", "SELECT 9.0::DOUBLE AS resistance")
+RESISTANCE = f"""{RECURSIVE}, {REACH}, c AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM k WHERE component = (SELECT component FROM k WHERE id = (SELECT min(i) FROM e))),
+nb AS (SELECT f.p, list({{'j': t.p, 'w': v}}) AS nb, sum(v) AS d FROM a JOIN c f ON f.id = i JOIN c t ON t.id = j GROUP BY 1), m AS (SELECT list(nb ORDER BY p) AS nb, list(d ORDER BY p) AS d, count(*) AS n FROM nb),
+g AS (SELECT 0 AS step, list_transform(range(1, n + 1), lambda i: 0.0::DOUBLE) AS x, list_transform(range(1, n + 1), lambda i: CASE i WHEN 1 THEN 1.0::DOUBLE WHEN n THEN -1.0 ELSE 0.0 END) AS r, r AS p, 2.0::DOUBLE AS rr FROM m
+  UNION ALL SELECT step + 1, x, r, list_transform(range(1, n + 1), lambda i: r[i] + list_inner_product(r, r) / rr * p[i]), list_inner_product(r, r) FROM (
+    SELECT step, n, list_transform(range(1, n + 1), lambda i: x[i] + z * p[i]) AS x, list_transform(range(1, n + 1), lambda i: r[i] - z * q[i]) AS r, p, rr FROM (
+      SELECT *, rr / list_inner_product(p, q) AS z FROM (
+        SELECT g.*, n, list_transform(range(1, n + 1), lambda i: d[i] * p[i] - list_sum(list_transform(nb[i], lambda t: t.w * p[t.j]))) AS q FROM g, m WHERE rr > 1e-24))))
+SELECT (SELECT id FROM c ORDER BY p LIMIT 1) AS a, (SELECT id FROM c ORDER BY p DESC LIMIT 1) AS b, round(x[1] - x[-1], 6) AS resistance FROM g ORDER BY step DESC LIMIT 1"""
+
+
+@add("effective_resistance", RESISTANCE)
 def _(s, d):
-    """Between both ends of a path of ten nodes of weight 1."""
-    return lv.effective_resistance(src.path(s, 10, 1.0), 0, 9).select(r6("resistance").alias("resistance"))
+    """Between the first and the last node of the component that holds the first edge; SQL solves the same system by its own recursion."""
+    e = it.checkpointed(edges(s, d))
+    own = it.checkpointed(it.connected_components(e, nodes(s, d)))
+    first = e.agg(F.min("i").alias("id"))
+    ends = own.join(own.join(F.broadcast(first), "id").select("component"), "component", "left_semi").agg(F.min("id"), F.max("id")).first()
+    return lv.effective_resistance(e.join(own.where(F.col("component") == ends[0]).select(F.col("id").alias("i")), "i", "left_semi"), *ends).select(F.lit(ends[0]).alias("a"), F.lit(ends[1]).alias("b"), r6("resistance").alias("resistance"))
 
 
 @add("logistic_scoring")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
+from latticework.operators import spectra as sp
 from latticework.plans.common import Queries, r6
 from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
 from latticework.plans.levels import SMOOTH, TV
@@ -150,13 +151,14 @@ def _(s, d):
     return out
 
 
-@add("spectral_summary", """WITH l AS (SELECT k, 2 - 2 * cos(pi() * k / 20) AS v FROM range(20) t(k)) SELECT count(CASE WHEN v < 1e-8 THEN 1 END) AS components, round(max(CASE WHEN k = 1 THEN v END), 6) AS fiedler,
-round(max(CASE WHEN k = 2 THEN v END) - max(CASE WHEN k = 1 THEN v END), 6) AS gap, round(1 / max(CASE WHEN k = 1 THEN v END), 4) AS mixing, round(max(CASE WHEN k = 1 THEN v END) / 2, 6) AS bound FROM l""")
+@add("spectral_summary")
 def _(s, d):
-    """Of a path of 20 nodes, whose eigenvalues are known."""
-    v = s.createDataFrame([(k, float(x)) for k, x in enumerate(lv.eigenvalues(g.laplacian(src.path(s, 20, 1.0))))], "k int, v double")
-    at = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
-    return v.agg(F.count_if(F.col("v") < 1e-8).alias("components"), r6(at(1)).alias("fiedler"), r6(at(2) - at(1)).alias("gap"), F.round(1 / at(1), 4).alias("mixing"), r6(at(1) / 2).alias("bound"))
+    """How a coarse level keeps the low spectrum: the ratio of its smallest eigenvalues to the fine graph's, both without zeros."""
+    e, fine, c = it.checkpointed(edges(s, d)), nodes(s, d), assign(s, d)
+    coarse = it.checkpointed(lv.coarse_edges(e, c))
+    (n, before), (m, after) = sp.laplacian_spectrum(e, fine, 2), sp.laplacian_spectrum(coarse, c.select(F.col("cluster").alias("id")).distinct(), 2)
+    rows = [(k, n, m, float(x), float(y), float(y / x)) for k, (x, y) in enumerate(zip(before.values, after.values))]
+    return s.createDataFrame(rows, "k long, components long, coarse_components long, fine double, coarse double, ratio double")
 
 
 PLANTED = f"SELECT a.i, b.i AS j, 1.0::DOUBLE AS w FROM range(140) a(i) JOIN range(140) b(i) ON a.i < b.i WHERE {u_sql('(a.i * 7919 + b.i)', 3)} < CASE WHEN a.i % 7 = b.i % 7 THEN 0.1 ELSE 0.01 END"
