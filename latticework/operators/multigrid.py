@@ -88,20 +88,6 @@ def scaled(matrix: DataFrame, factor: float) -> DataFrame:
     return matrix.select("i", "j", (F.col("v") * factor).alias("v"))
 
 
-def coloured_relaxation(edges: DataFrame, x: DataFrame, b: DataFrame, colours: int = 2, sweeps: int = 1, symmetric: bool = False) -> DataFrame:
-    """(id, x) after Gauss-Seidel by colours (id modulo ``colours``): each colour takes the others' new values, its own nodes move at once.
-
-    ``symmetric``: each sweep goes through the colours again in reverse order. Nodes without edges stay.
-    """
-    order = list(range(colours)) + (list(range(colours - 2, -1, -1)) if symmetric else [])
-    for colour in order * sweeps:
-        near = g.times_vector(g.both_ways(edges), x).withColumnRenamed("x", "wx")
-        rows = x.join(near, "id", "left").join(g.degrees(edges).select("id", "weight"), "id", "left").join(b.select("id", F.col("x").alias("b")), "id")
-        new = (F.col("b") + F.coalesce("wx", F.lit(0.0))) / F.col("weight")
-        x = it.stored(rows.select("id", F.when((F.pmod("id", F.lit(colours)) == colour) & F.col("weight").isNotNull(), new).otherwise(F.col("x")).alias("x")), "relaxed")
-    return x
-
-
 def residual(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     """(id, x): b - A x."""
     ax = g.times_vector(matrix, x).withColumnRenamed("x", "ax")

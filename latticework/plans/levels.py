@@ -141,7 +141,7 @@ def _(s, d):
     own = it.checkpointed(it.connected_components(e, nodes(s, d)))
     first = e.agg(F.min("i").alias("id"))
     ends = own.join(own.join(F.broadcast(first), "id").select("component"), "component", "left_semi").agg(F.min("id"), F.max("id")).first()
-    return lv.effective_resistance(e.join(own.where(F.col("component") == ends[0]).select(F.col("id").alias("i")), "i", "left_semi"), *ends).select(F.lit(ends[0]).alias("a"), F.lit(ends[1]).alias("b"), r6("resistance").alias("resistance"))
+    return lv.effective_resistance(e.join(own.where(F.col("component") == ends[0]).select(F.col("id").alias("i")), "i", "left_semi"), *ends).select(F.lit(ends[0]).cast("long").alias("a"), F.lit(ends[1]).cast("long").alias("b"), r6("resistance").alias("resistance"))
 
 
 @add("logistic_scoring")

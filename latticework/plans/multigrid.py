@@ -11,6 +11,7 @@ from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
 from latticework.operators import multigrid as mg
+from latticework.operators import relaxation as rx
 from latticework.plans.common import Queries, r6
 from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
 from latticework.plans.levels import TV
@@ -39,13 +40,26 @@ def _(s, d):
     return mg.energy_factor(edges(s, d), assign(s, d), lv.long(lv.random_vectors(nodes(s, d)))).select(r6("factor").alias("factor"))
 
 
-@add("coloured_gauss_seidel", f"""{WITH}, w1 AS (SELECT i AS id, sum(v * x) AS wx FROM a JOIN x ON x.id = j GROUP BY 1),
-x1 AS (SELECT id, CASE WHEN id % 2 = 0 AND weight IS NOT NULL THEN (1 + coalesce(wx, 0)) / weight ELSE x END AS x FROM x LEFT JOIN d USING (id) LEFT JOIN w1 USING (id)),
-w2 AS (SELECT i AS id, sum(v * x) AS wx FROM a JOIN x1 ON x1.id = j GROUP BY 1)
-SELECT id, round(CASE WHEN id % 2 = 1 AND weight IS NOT NULL THEN (1 + coalesce(wx, 0)) / weight ELSE x END, 6) + 0.0 AS x FROM x1 LEFT JOIN d USING (id) LEFT JOIN w2 USING (id)""")
+COLOURS = f"""o AS (SELECT id, row_number() OVER (ORDER BY {u_sql('id', 5)} DESC, id) AS p FROM n), nb AS (SELECT f.p, list(t.p) AS nb FROM a JOIN o f ON f.id = i JOIN o t ON t.id = j WHERE t.p < f.p GROUP BY 1),
+om AS (SELECT list(coalesce(nb, []) ORDER BY o.p) AS nb, count(*) AS n FROM o LEFT JOIN nb USING (p)),
+cl AS (SELECT []::BIGINT[] AS c FROM om UNION ALL SELECT list_append(c, list_filter(range(0, len(nb[len(c) + 1]) + 1), lambda k: NOT list_contains(list_transform(nb[len(c) + 1], lambda q: c[q]), k))[1]) FROM cl, om WHERE len(c) < n),
+co AS (SELECT id, c[p] AS colour FROM o, (SELECT c FROM cl ORDER BY len(c) DESC LIMIT 1))"""
+
+
+@add("graph_colouring", f"{RECURSIVE}, {COLOURS} SELECT id, colour::INT AS colour FROM co")
+def _(s, d):
+    """SQL colours the nodes one by one."""
+    return rx.colouring(it.checkpointed(edges(s, d)), nodes(s, d))
+
+
+@add("coloured_gauss_seidel", f"""{RECURSIVE}, {COLOURS}, y AS (SELECT x.id, x, row_number() OVER (ORDER BY colour, x.id) AS p FROM x JOIN co USING (id)),
+gn AS (SELECT f.p, list({{'w': v, 'q': t.p}}) AS nb, sum(v) AS d FROM a JOIN y f ON f.id = i JOIN y t ON t.id = j GROUP BY 1), gm AS (SELECT list(nb ORDER BY y.p) AS nb, list(d ORDER BY y.p) AS d, count(*) AS n FROM y LEFT JOIN gn USING (p)),
+gs AS (SELECT 0 AS step, list(x ORDER BY p) AS x FROM y UNION ALL SELECT step + 1, list_concat(list_concat(x[1:step], [CASE WHEN d[step + 1] IS NULL THEN x[step + 1] ELSE (1 + list_sum(list_transform(nb[step + 1], lambda t: t.w * x[t.q]))) / d[step + 1] END]), x[step + 2:]) FROM gs, gm WHERE step < n)
+SELECT id, round(z.x[p], 6) + 0.0 AS x FROM y, (SELECT x FROM gs ORDER BY step DESC LIMIT 1) z""")
 def _(s, d):
-    b = nodes(s, d).select("id", F.lit(1.0).alias("x"))
-    return mg.coloured_relaxation(it.checkpointed(edges(s, d)), signal(s, d), b).select("id", r6("x").alias("x"))
+    """One sweep; SQL moves the nodes one by one, by colour and id."""
+    e, b = it.checkpointed(edges(s, d)), nodes(s, d).select("id", F.lit(1.0).alias("x"))
+    return rx.gauss_seidel(e, rx.colouring(e, nodes(s, d)), signal(s, d), b).select("id", r6("x").alias("x"))
 
 
 @add("random_rhs", f"{RECURSIVE}, {REACH}, u AS (SELECT id, {u_sql('id', 9)} AS u FROM n) SELECT id, round(u - avg(u) OVER (PARTITION BY component), 6) + 0.0 AS x FROM u JOIN k USING (id)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
 from latticework.operators import multigrid as mg
+from latticework.operators import relaxation as rx
 from latticework.sources import graphs as src
 
 
@@ -100,15 +103,27 @@ def test_cycle(spark):
     assert np.linalg.norm(b - l @ x) < np.linalg.norm(b)
 
 
-def test_coloured_relaxation(spark):
-    edges = src.grid(spark, 5, 4)
-    w = dense(edges, 20)
-    x, b = np.arange(20.0) % 7, np.ones(20)
-    for colour in (0, 1, 2, 1, 0):
-        new = (b + w @ x) / w.sum(1)
-        x = np.where(np.arange(20) % 3 == colour, new, x)
-    found = mg.coloured_relaxation(edges, spark.range(20).select("id", (F.col("id") % 7).cast("double").alias("x")), spark.range(20).select("id", F.lit(1.0).alias("x")), 3, symmetric=True)
-    assert np.allclose(values(found, 20), x)
+def test_colouring_and_relaxation(spark):
+    """Equal to one-by-one scans; a lone node, a repeated weight and a hub among them."""
+    draw = random.Random(2)
+    pairs = {(a, b) for a, b in (sorted(draw.sample(range(1, 30), 2)) for _ in range(70))} | {(0, k) for k in range(1, 25)}
+    edges = it.checkpointed(spark.createDataFrame([(a, b, 1.0 + (a + b) % 3) for a, b in sorted(pairs)], "i long, j long, w double"))
+    w, nodes = dense(edges, 31), spark.range(31)
+    rank = {r.id: (-r.u, r.id) for r in nodes.select("id", g.uniform(F.col("id"), 5).alias("u")).collect()}
+    want: dict[int, int] = {}
+    for i in sorted(range(31), key=rank.get):
+        want[i] = min(set(range(31)) - {want[j] for j in np.flatnonzero(w[i]) if j in want})
+    colours = rx.colouring(edges, nodes)
+    assert {r.id: r.colour for r in colours.collect()} == want
+    assert all(want[a] != want[b] for a, b in pairs)
+    x, b = np.arange(31.0) % 7, np.ones(31)
+    order = sorted(range(31), key=lambda i: (want[i], i))
+    last = max(want.values())
+    for i in order + sorted((i for i in order if want[i] < last), key=lambda i: (-want[i], i)):
+        if w[i].any():
+            x[i] = (b[i] + w[i] @ x) / w[i].sum()
+    found = rx.gauss_seidel(edges, colours, nodes.select("id", (F.col("id") % 7).cast("double").alias("x")), nodes.select("id", F.lit(1.0).alias("x")), symmetric=True)
+    assert np.allclose(values(found, 31), x)
 
 
 def test_restricted_eigenspace(spark):
