@@ -1,70 +1,16 @@
-"""Multigrid parts: aggregation by affinity and energy, corrections of coarse energies, relaxations and cycles."""
+"""Corrections of coarse energies, restricted eigenspaces and clustering."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions import vectors as vec
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
 
 
-def _sums(each, columns: int):
-    """An array of sums, one for each test vector."""
-    return F.array(*(F.sum(each(c)) for c in range(columns)))
-
-
-def energy_ratio(d, r, q, y, columns: int):
-    """Largest ratio, over the test vectors, of a node's energy with value ``y`` to its least energy, d, r, q being the neighbours' sums of w, w x and w x^2 / 2."""
-    ratios = [F.when(q[c] - r[c] * r[c] / (2 * d) > 1e-30, (d / 2 * y[c] * y[c] - r[c] * y[c] + q[c]) / (q[c] - r[c] * r[c] / (2 * d))).otherwise(F.when(F.abs(y[c] - r[c] / d) <= 1e-15, 1.0).otherwise(float("inf"))) for c in range(columns)]
-    return F.greatest(*ratios) if columns > 1 else ratios[0]
-
-
-def aggregation_sweep(edges: DataFrame, nodes: DataFrame, x: DataFrame, columns: int, bins: int = 10, ratio: float = 2.5, guard: float = 0.3) -> DataFrame:
-    """(id, cluster): nodes join the seed of largest affinity whose value, put in place of theirs, raises the energy of no test vector above ``ratio`` times the least one.
-
-    x: (id, x), ``columns`` test vectors. Nodes are admitted by bins of their largest affinity, the highest first. Of the joins that a round finds, those
-    are carried out that come before all others in conflict with them (same node on the other side) by affinity, then by id; joined nodes
-    take their seed's values, as in a sequential sweep. Nobody joins a node that has joined. Ends where no join is left or ``guard`` times the nodes are
-    clusters at most. Rounds are joins of the edge table with node rows: no node's neighbours meet in one task but in sums.
-    """
-    total = nodes.count()
-    a = it.checkpointed(g.both_ways(edges))
-    vectors = it.checkpointed(x.select("id", "x"))
-    ends = a.join(vectors.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(vectors.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
-    near = it.checkpointed(ends.select("i", "j", F.col("v").alias("w"), vec.affinity(F.col("xi"), F.col("xj")).alias("affinity")).where("affinity is not null"))
-    best = near.groupBy(F.col("i").alias("id")).agg(F.max("affinity").alias("best"))
-    first = F.coalesce(F.floor((1 - F.least("best", F.lit(1.0))) * bins), F.lit(bins)).cast("int")
-    state = it.stored(nodes.select("id").join(vectors, "id", "left").join(best, "id", "left").select("id", "x", first.alias("bin"), F.lit(None).cast("long").alias("cluster"), F.lit(False).alias("seed")), "sweep-state")
-    admitted, joined = 0, 0
-    while total - joined > guard * total:
-        free = state.where(F.col("cluster").isNull() & ~F.col("seed") & (F.col("bin") <= admitted)).select(F.col("id").alias("i"))
-        k = near.join(free, "i", "left_semi").join(state.select(F.col("id").alias("j"), "x", "cluster"), "j")
-        sums = k.groupBy("i").agg(F.sum("w").alias("d"), _sums(lambda c: F.col("w") * F.col("x")[c], columns).alias("r"), _sums(lambda c: F.col("w") * F.col("x")[c] * F.col("x")[c] / 2, columns).alias("q"))
-        fit = k.where("cluster is null").join(sums, "i").where(energy_ratio(F.col("d"), F.col("r"), F.col("q"), F.col("x"), columns) <= ratio)
-        pick = it.stored(fit.groupBy("i").agg(F.min(F.struct((-F.col("affinity")).alias("rank"), F.col("j").alias("s"))).alias("p")).select("i", "p.s", F.struct("p.rank", "i").alias("place")), "sweep-pick")
-        at_seed = pick.select(F.col("i").alias("s"), F.col("place").alias("seed_place"))
-        at_node = pick.groupBy(F.col("s").alias("i")).agg(F.min("place").alias("into_place"))
-        won = pick.join(at_seed, "s", "left").join(at_node, "i", "left").where((F.col("seed_place").isNull() | (F.col("place") <= F.col("seed_place"))) & (F.col("into_place").isNull() | (F.col("place") <= F.col("into_place"))))
-        won = it.stored(won.select("i", "s").join(state.select(F.col("id").alias("s"), F.col("x").alias("xs")), "s"), "sweep-won")
-        new = won.count()
-        if new:
-            joined += new
-            seeds = won.select(F.col("s").alias("id"), F.lit(True).alias("now")).distinct()
-            moved = won.select(F.col("i").alias("id"), F.col("s").alias("to"), "xs")
-            state = state.join(moved, "id", "left").join(seeds, "id", "left")
-            state = it.stored(state.select("id", F.coalesce("xs", "x").alias("x"), "bin", F.coalesce("cluster", "to").alias("cluster"), (F.col("seed") | F.coalesce("now", F.lit(False))).alias("seed")), "sweep-state")
-        elif admitted >= bins:
-            break
-        admitted += 1
-    return state.select("id", F.coalesce("cluster", "id").alias("cluster"))
-
-
 def column_energies(edges: DataFrame, x: DataFrame) -> DataFrame:
     """(c, energy): sum of w (x_i - x_j)^2 of each column of (id, c, x)."""
     both = edges.join(x.select(F.col("id").alias("i"), "c", F.col("x").alias("xi")), "i").join(x.select(F.col("id").alias("j"), "c", F.col("x").alias("xj")), ["j", "c"])
@@ -88,55 +34,6 @@ def scaled(matrix: DataFrame, factor: float) -> DataFrame:
     return matrix.select("i", "j", (F.col("v") * factor).alias("v"))
 
 
-def residual(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
-    """(id, x): b - A x."""
-    ax = g.times_vector(matrix, x).withColumnRenamed("x", "ax")
-    return b.join(ax, "id", "left").select("id", (F.col("x") - F.coalesce("ax", F.lit(0.0))).alias("x"))
-
-
-def cycle(levels: Sequence[tuple[DataFrame, DataFrame]], coarsest: DataFrame, x: DataFrame, b: DataFrame, at: int = 0, gamma: int = 1, sweeps: int = 1, omega: float = 0.7) -> DataFrame:
-    """(id, x) after one cycle: damped Jacobi, the clusters' residual solved on the next level (``gamma`` times), a step along that correction of least residual, damped Jacobi.
-
-    levels: (edges, assignment to the next level), finest first; ``coarsest``: edges where conjugate gradients solve. b must sum to zero over each component.
-    """
-    if at == len(levels):
-        if not coarsest.limit(1).count():
-            return b.select("id", F.lit(0.0).alias("x"))
-        return it.stored(it.conjugate_gradients(g.laplacian(coarsest), b, tolerance=1e-9), "cycle-x")
-    edges, assign = levels[at]
-    matrix = it.checkpointed(g.laplacian(edges))
-    for _ in range(sweeps):
-        x = g.jacobi_step(edges, x, b, omega)
-    x = it.stored(x.select("id", "x"), "cycle-x")
-    r = it.stored(residual(matrix, x, b), "cycle-r")
-    below = it.stored(coarse_rhs(r, assign, 1.0), "cycle-rhs")
-    e = below.select("id", F.lit(0.0).alias("x"))
-    for _ in range(gamma if at + 1 < len(levels) else 1):
-        e = cycle(levels, coarsest, e, below, at + 1, gamma, sweeps, omega)
-    step = it.stored(assign.join(e.select(F.col("id").alias("cluster"), F.col("x").alias("e")), "cluster", "left").select("id", F.coalesce("e", F.lit(0.0)).alias("x")), "cycle-step")
-    change = g.times_vector(matrix, step).withColumnRenamed("x", "y")
-    top, bottom = r.join(change, "id").agg(F.sum(F.col("x") * F.col("y")), F.sum(F.col("y") * F.col("y"))).first()
-    alpha = top / bottom if bottom else 0.0
-    x = x.join(step.withColumnRenamed("x", "e"), "id").select("id", (F.col("x") + alpha * F.col("e")).alias("x"))
-    for _ in range(sweeps):
-        x = g.jacobi_step(edges, x, b, omega)
-    return it.stored(x.select("id", "x"), "cycle-x")
-
-
-def aggregated_levels(edges: DataFrame, nodes: DataFrame, most: int = 3, least: int = 20) -> tuple[list[tuple[DataFrame, DataFrame]], DataFrame]:
-    """Levels for ``cycle`` by trees of heaviest edges, and the coarsest level's edges; ends at ``least`` nodes or where nothing merges."""
-    out, n = [], nodes.count()
-    while len(out) < most and n > least:
-        assign = it.checkpointed(lv.heaviest_edge_clusters(edges, nodes))
-        nodes = it.checkpointed(assign.select(F.col("cluster").alias("id")).distinct())
-        after = nodes.count()
-        if after == n:
-            break
-        out.append((edges, assign))
-        edges, n = it.checkpointed(lv.coarse_edges(edges, assign)), after
-    return out, edges
-
-
 def restricted_eigenspace(matrix: DataFrame, y: DataFrame, columns: int) -> np.ndarray:
     """Ascending eigenvalues of a symmetric matrix restricted to the span of the ``columns`` of (id, x array).
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from latticework.functions import special as sp
+from latticework.operators import amg
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
@@ -62,6 +63,32 @@ def _(s, d):
     return rx.gauss_seidel(e, rx.colouring(e, nodes(s, d)), signal(s, d), b).select("id", r6("x").alias("x"))
 
 
+@add("aggregation_sweep")
+def _(s, d):
+    """Who joins whom in which round, over the part graph with hashed test vectors."""
+    e, x = it.checkpointed(edges(s, d)), it.checkpointed(lv.test_vectors(edges(s, d), nodes(s, d), 4))
+    return amg.assignment(amg.sweep_stage(amg.start_sweep(e, nodes(s, d), x), 4))
+
+
+@add("amg_setup")
+def _(s, d):
+    """A row for each level of the part graph: how it came about, its size, its filter's rate, alpha and beta, and nodes, edges and work so far by the finest's."""
+    found = amg.setup(it.checkpointed(edges(s, d)), nodes(s, d), direct=50)
+    rows = [(k, x.kind, x.size, x.links, x.rate, x.alpha, x.beta, x.stage, *amg.complexities(found[: k + 1])) for k, x in enumerate(found)]
+    return s.createDataFrame(rows, "level int, kind string, nodes long, edges long, rate double, alpha double, beta double, stage int, node_complexity double, edge_complexity double, work double")
+
+
+@add("pcg_solve", f"{RECURSIVE}, {REACH}, y AS (SELECT id, {u_sql('id', 12)} AS y FROM n) SELECT id, round(y - avg(y) OVER (PARTITION BY component), 6) + 0.0 AS x FROM y JOIN k USING (id)")
+def _(s, d):
+    """Right-hand side L y for hashed numbers y, solved by gradients with multigrid cycles; of the solutions, that without means over components."""
+    e = it.checkpointed(edges(s, d))
+    y = nodes(s, d).select("id", g.uniform(F.col("id"), 12).alias("x"))
+    b = nodes(s, d).join(g.times_vector(g.laplacian(e), y), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"))
+    x, _ = amg.Solver(amg.setup(e, nodes(s, d), direct=50)).solve(it.checkpointed(b), 1e-11)
+    x = x.join(it.connected_components(e, nodes(s, d)), "id")
+    return x.join(x.groupBy("component").agg(F.avg("x").alias("m")), "component").select("id", r6(F.col("x") - F.col("m")).alias("x"))
+
+
 @add("random_rhs", f"{RECURSIVE}, {REACH}, u AS (SELECT id, {u_sql('id', 9)} AS u FROM n) SELECT id, round(u - avg(u) OVER (PARTITION BY component), 6) + 0.0 AS x FROM u JOIN k USING (id)")
 def _(s, d):
     """Random right-hand side, without the null space of each component."""

@@ -29,80 +29,6 @@ def values(x, n):
     return out
 
 
-def plain_sweep(w, x, bins=10, ratio=2.5, guard=0.3):
-    n, x = len(w), x.copy()
-    z = (x @ x.T) ** 2 / np.outer((x * x).sum(1), (x * x).sum(1))
-    best = np.where(w > 0, z, -1).max(1)
-    level = [bins if b < 0 else int(np.floor((1 - min(b, 1.0)) * bins)) for b in best]
-    cluster, seed, admitted = {}, set(), 0
-    while n - len(cluster) > guard * n:
-        picks = {}
-        for i in range(n):
-            if i in cluster or i in seed or level[i] > admitted:
-                continue
-            near = np.flatnonzero(w[i])
-            d, r, q = w[i].sum(), w[i] @ x, w[i] @ (x * x) / 2
-            fit = [(-z[i, s], s) for s in near if s not in cluster and ((d / 2 * x[s] ** 2 - r * x[s] + q) / (q - r * r / (2 * d))).max() <= ratio]
-            if fit:
-                picks[i] = ((min(fit)[0], i), min(fit)[1])
-        won = {i: s for i, (p, s) in picks.items() if (s not in picks or p <= picks[s][0]) and all(p <= o for o, t in picks.values() if t == i)}
-        at = x.copy()
-        for i, s in won.items():
-            cluster[i] = s
-            seed.add(s)
-            x[i] = at[s]
-        if not won and admitted >= bins:
-            break
-        admitted += 1
-    return {i: cluster.get(i, i) for i in range(n)}
-
-
-def test_aggregation_sweep(spark):
-    edges, nodes = it.checkpointed(src.grid(spark, 7, 6)), spark.range(42)
-    x = it.checkpointed(lv.test_vectors(edges, nodes, 4))
-    rows = np.zeros((42, 4))
-    for r in x.collect():
-        rows[r.id] = r.x
-    found = {r.id: r.cluster for r in mg.aggregation_sweep(edges, nodes, x, 4).collect()}
-    assert found == plain_sweep(dense(edges, 42), rows)
-    assert 0 < len(set(found.values())) < 42 and all(found[c] == c for c in found.values())
-
-
-def plain_cycle(ws, ps, x, b, at, gamma):
-    w = ws[at]
-    l = np.diag(w.sum(1)) - w
-    if at == len(ps):
-        return np.linalg.pinv(l) @ b
-    jacobi = lambda x: np.where(w.sum(1) > 0, 0.3 * x + 0.7 * (b + w @ x) / np.maximum(w.sum(1), 1e-300), x)
-    x = jacobi(x)
-    r = b - l @ x
-    e = np.zeros(len(ws[at + 1]))
-    for _ in range(gamma if at + 1 < len(ps) else 1):
-        e = plain_cycle(ws, ps, e, ps[at].T @ r, at + 1, gamma)
-    step = ps[at] @ e
-    y = l @ step
-    return jacobi(x + (r @ y / (y @ y) if y @ y else 0.0) * step)
-
-
-def test_cycle(spark):
-    """Equal to a cycle over dense matrices, and the residual falls."""
-    edges, nodes = it.checkpointed(src.grid(spark, 6, 6)), spark.range(36)
-    levels, coarsest = mg.aggregated_levels(edges, nodes, most=2, least=3)
-    assert levels
-    ws, ps = [dense(e, 36) for e in [*(e for e, _ in levels), coarsest]], []
-    for _, assign in levels:
-        p = np.zeros((36, 36))
-        for r in assign.collect():
-            p[r.id, r.cluster] = 1
-        ps.append(p)
-    l = np.diag(ws[0].sum(1)) - ws[0]
-    b = l @ np.sin(np.arange(36.0))
-    given = spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "id long, x double")
-    x = values(mg.cycle(levels, coarsest, given.select("id", F.lit(0.0).alias("x")), given), 36)
-    assert np.allclose(x, plain_cycle(ws, ps, np.zeros(36), b, 0, 1), atol=1e-6)
-    assert np.linalg.norm(b - l @ x) < np.linalg.norm(b)
-
-
 def test_colouring_and_relaxation(spark):
     """Equal to one-by-one scans; a lone node, a repeated weight and a hub among them."""
     draw = random.Random(2)
