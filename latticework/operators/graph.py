@@ -172,8 +172,8 @@ def node2vec_transitions(edges: DataFrame, p: float = 1.0, q: float = 1.0) -> Da
     return step.join(common, ["previous", "next"], "left").select("previous", "current", "next", weight.alias("w")).select("previous", "current", "next", (F.col("w") / F.sum("w").over(w)).alias("probability"))
 
 
-def uniform(id_: Column, c: int) -> Column:
-    """Reproducible numbers in [0, 1) by node and column, the same in any SQL engine."""
+def uniform(id_: Column, c: int | Column) -> Column:
+    """Reproducible numbers in [0, 1) by node and column (a whole number, as a column a long), the same in any SQL engine."""
     p = 2147483647
     z1 = (id_ * 1103515245 + (c + 1) * 620899117 + 7) % p
     z2 = (z1 * z1 + c + 1) % p

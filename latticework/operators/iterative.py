@@ -119,34 +119,10 @@ def conjugate_gradients(matrix: DataFrame, b: DataFrame, steps: int = 2000, tole
     return state.select("id", "x")
 
 
-def weighted_walks(edges: DataFrame, nodes: DataFrame, walks: int = 2, length: int = 5) -> DataFrame:
-    """(walk, id, step, node): from each node, ``length`` steps with probability proportional to weight; isolated nodes repeat themselves.
-
-    A node's neighbours are one row, an array by ascending id with cumulative weights; a step is a join with that row and a search in it.
-    """
-    from latticework.operators.graph import uniform
-
-    near = both_ways(edges).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("near"))
-    running = F.aggregate("near", F.array().cast("array<double>"), lambda held, x: F.concat(held, F.array(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0.0)) + x["v"])))
-    table = checkpointed(near.select("i", F.transform("near", lambda x: x["j"]).alias("to"), running.alias("upto")))
-    now = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), "id", F.lit(0).alias("step"), F.col("id").alias("node"))
-    out = now
-    for step in range(1, length + 1):
-        u = uniform(F.col("id") * 31 + F.col("walk") * 17 + step, step)
-        aim = F.col("u") * F.element_at("upto", -1)
-        place = F.least(F.size(F.filter("upto", lambda x: x <= aim)) + 1, F.size("upto"))
-        move = now.withColumn("u", u).join(table, F.col("node") == F.col("i"), "left")
-        now = checkpointed(move.select("walk", "id", F.lit(step).alias("step"), F.when(F.col("i").isNull(), F.col("node")).otherwise(F.element_at("to", place)).alias("node")))
-        out = out.unionAll(now)
-    return out
-
-
-def embed(walks: DataFrame, size: int = 16, window: int = 5, seed: int = 1, partitions: int = 1) -> DataFrame:
-    """(id, vector) by skip-gram over walks; with more ``partitions`` each trains on its walks and vectors are averaged."""
+def embed(walks: DataFrame, size: int = 128, window: int = 10, passes: int = 5, seed: int = 1, partitions: int = 4) -> DataFrame:
+    """(id, vector) by skip-gram over walks, ``passes`` times; each of ``partitions`` trains on its walks and vectors are averaged after each pass."""
     from pyspark.ml.feature import Word2Vec
 
     paths = walks.groupBy("walk", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda s: s["node"].cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=1, numPartitions=partitions, seed=seed, inputCol="path", outputCol="v").fit(paths)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=passes, numPartitions=partitions, seed=seed, inputCol="path", outputCol="v").fit(paths)
     return model.getVectors().select(F.col("word").cast("long").alias("id"), "vector")
-
-

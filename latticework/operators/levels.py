@@ -150,13 +150,15 @@ def refined(x: DataFrame, levels: list[tuple[DataFrame, DataFrame, DataFrame]],
     return x
 
 
-def embedding(edges: DataFrame, nodes: DataFrame, levels: int = 1, size: int = 16, walks: int = 2, length: int = 5) -> DataFrame:
+def embedding(edges: DataFrame, nodes: DataFrame, levels: int = 1, size: int = 128, window: int = 10, passes: int = 5, walks: int = 10, length: int = 80) -> DataFrame:
     """(id, c, x): levels, walks and skip-gram on the coarsest, refinement to all nodes."""
+    from latticework.operators import walks as wk
+
     below = hierarchy(edges, nodes, levels)
     if below:
         e, _, assign = below[-1]
         edges, nodes = it.checkpointed(coarse_edges(e, assign)), assign.select(F.col("cluster").alias("id")).distinct()
-    found = it.embed(it.weighted_walks(edges, nodes, walks, length), size).select("id", F.col("vector").alias("v"))
+    found = it.embed(wk.first_order(edges, nodes, walks, length), size, window, passes).select("id", F.col("vector").alias("v"))
     from pyspark.ml.functions import vector_to_array
 
     x = found.select("id", F.posexplode(vector_to_array("v")).alias("c", "x"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
+from latticework.operators import walks as wk
 from latticework.plans.common import Queries, r6
 from latticework.sources import graphs as src
 
@@ -312,9 +313,25 @@ def _(s, d):
     return it.conjugate_gradients(l, g.times_vector(l, y), tolerance=1e-12).select("id", r6("x").alias("x"))
 
 
-@add("weighted_walk")
+def walk_sql(walks: int, length: int) -> str:
+    u = u_sql("(w.id * 31 + w.walk * 17 + w.step + 1)", "(w.step + 1)")
+    return f"""cum AS (SELECT i, j, v, sum(v) OVER (PARTITION BY i ORDER BY j) AS upto, sum(v) OVER (PARTITION BY i) AS total FROM a),
+w AS (SELECT walk, id, 0 AS step, id AS node FROM n, range({walks}) t(walk) UNION ALL SELECT w.walk, w.id, w.step + 1, coalesce(c.j, w.node)
+  FROM w LEFT JOIN cum c ON c.i = w.node AND {u} * c.total >= c.upto - c.v AND {u} * c.total < c.upto WHERE w.step < {length})"""
+
+
+@add("weighted_walk", f"{RECURSIVE}, {walk_sql(10, 80)} SELECT walk::INT AS walk, id, count(*) AS nodes, max(CASE WHEN step = 80 THEN node END) AS last, sum(node * (step + 1))::BIGINT AS path FROM w GROUP BY 1, 2")
+def _(s, d):
+    """Ten walks of 81 nodes from every node: of each its length, last node and a sum over all its nodes by their places."""
+    found = wk.first_order(it.checkpointed(edges(s, d)), nodes(s, d))
+    return found.groupBy("walk", "id").agg(F.count("*").alias("nodes"), F.max(F.when(F.col("step") == 80, F.col("node"))).alias("last"), F.sum(F.col("node") * (F.col("step") + 1)).alias("path"))
+
+
+@add("node2vec_walk")
 def _(s, d):
-    return it.weighted_walks(edges(s, d), nodes(s, d))
+    """Ten second-order walks of 80 nodes from every node: how often each node is met at each step."""
+    found = wk.second_order(it.checkpointed(edges(s, d)), nodes(s, d), 0.5, 2.0)
+    return found.groupBy("node", "step").agg(F.count("*").alias("visits"))
 
 
 @add("gen_grid", "SELECT r * 15 + c AS i, r * 15 + c + 1 AS j, 1.0::DOUBLE AS w FROM range(20) a(r), range(14) b(c) UNION ALL SELECT r * 15 + c, r * 15 + c + 15, 1.0::DOUBLE FROM range(19) a(r), range(15) b(c)")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
 from latticework.operators import spectra as sp
+from latticework.operators import walks as wk
 from latticework.plans.common import Queries, r6
-from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
+from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql, walk_sql
 from latticework.plans.levels import SMOOTH, TV
 from latticework.sources import graphs as src
 
@@ -127,18 +127,20 @@ def _(s, d):
     return weight.join(F.broadcast(weight.agg(F.sum("p").alias("total")))).select("id", F.round(F.col("p") / F.col("total"), 9).alias("probability"))  # total: one row
 
 
-@add("alias_setup", f"{WITH} SELECT i, j, round(sum(v) OVER (PARTITION BY i ORDER BY j) / sum(v) OVER (PARTITION BY i), 6) AS upto FROM a")
+@add("alias_setup", f"{WITH} SELECT i, j, round(v / sum(v) OVER (PARTITION BY i), 6) AS probability FROM a")
 def _(s, d):
-    """Draws by inverse cumulative probability, the exact equivalent of alias tables."""
-    w = Window.partitionBy("i")
-    return g.both_ways(edges(s, d)).select("i", "j", r6(F.sum("v").over(w.orderBy("j")) / F.sum("v").over(w)).alias("upto"))
+    """Each neighbour's probability, put together again from the alias tables."""
+    t = wk.alias_tables(edges(s, d))
+    at = t.select("i", "to", F.size("to").alias("n"), F.posexplode(F.arrays_zip("keep", "other")).alias("k", "t"))
+    shares = at.select("i", F.explode(F.array(F.struct(F.element_at("to", F.col("k") + 1).alias("j"), (F.col("t.keep") / F.col("n")).alias("p")), F.struct(F.element_at("to", F.col("t.other")).alias("j"), ((1 - F.col("t.keep")) / F.col("n")).alias("p")))).alias("s"))
+    return shares.groupBy("i", F.col("s.j").alias("j")).agg(r6(F.sum("s.p")).alias("probability"))
 
 
-@add("walk_pairs")
+@add("walk_pairs", f"{RECURSIVE}, {walk_sql(50, 5)} SELECT id, node AS context, count(*) AS n FROM w WHERE step > 0 AND node <> id GROUP BY 1, 2")
 def _(s, d):
-    """Context pairs of walks: each node with the walk's start, without pairs of a node with itself."""
-    walks = it.weighted_walks(edges(s, d), nodes(s, d).where("id % 16 = 0"), 2, 5)
-    return walks.where("step > 0 and node <> id").select("id", F.col("node").alias("context"))
+    """Context pairs of 50 walks of five steps from every node: each node with the walk's start, without pairs of a node with itself."""
+    walks = wk.first_order(it.checkpointed(edges(s, d)), nodes(s, d), 50, 5)
+    return wk.context_pairs(walks).groupBy("id", "context").agg(F.count("*").alias("n"))
 
 
 @add("simple_multilevel")

@@ -14,7 +14,7 @@ from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
 from latticework.operators import spectra as sp
-from latticework.plans import registry
+from latticework.operators import walks as wk
 from latticework.sources import graphs as src
 
 
@@ -110,7 +110,7 @@ def test_walks_follow_edges_with_their_weights(spark):
     from latticework.operators import iterative as it
 
     edges = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0), (1, 2, 1.0)], "i long, j long, w double")
-    rows = it.weighted_walks(edges, spark.range(4), 300, 1).where("step = 1").collect()
+    rows = wk.first_order(edges, spark.range(4), 300, 1).where("step = 1").collect()
     assert {r.node for r in rows if r.id == 3} == {3} and {r.node for r in rows if r.id == 0} == {1, 2}
     assert 0.65 < np.mean([r.node == 2 for r in rows if r.id == 0]) < 0.85
 
