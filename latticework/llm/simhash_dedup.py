@@ -21,6 +21,8 @@ GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 _words, _runs = WordHash(3), Rolling(0x9E3779B97F4A7C15)
+#: For the sets of five-word runs, whose tasks hold the sketch too.
+_few = WordHash(3, 100_000)
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -149,7 +151,7 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     words = WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64)
-    prefix = _runs.prefix(_words.of(words))
+    prefix = _runs.prefix(_few.of(words))
     return np.unique(_runs.runs(prefix, min(shingle, len(words))))
 
 
@@ -171,7 +173,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    pre = prefilter(docs, lambda t: shingles(t, shingle), 6, wide=False)
+    pre = prefilter(docs, lambda t: shingles(t, shingle), 6, wide=False, chunk=400_000, most_log2=27)
     test = pre.test
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ def cells(marks: np.ndarray, row: int, log2: int) -> np.ndarray:
     return (mixed(marks + np.uint64(0x5851F42D4C957F2D * row & (1 << 64) - 1)) >> np.uint64(64 - log2)).astype(np.int64)
 
 
-def merged_sketch(docs: DataFrame, marks_of: Marks, log2: int) -> list[np.ndarray]:
+def merged_sketch(docs: DataFrame, marks_of: Marks, log2: int, chunk: int = CHUNK) -> list[np.ndarray]:
     """Bit maps, one for each row of the sketch: is the cell's count, over all documents, 2 or more?
 
     Each partition counts the marks of its texts; counts saturate at 2, are sent as sorted cell numbers by block and
@@ -62,7 +62,7 @@ def merged_sketch(docs: DataFrame, marks_of: Marks, log2: int) -> list[np.ndarra
                     n += len(marks)
                     for row in range(DEPTH):
                         held[row].append(cells(marks, row, log2))
-            if n > CHUNK:
+            if n > chunk:
                 yield from flush()
                 n = 0
         yield from flush()
@@ -122,27 +122,27 @@ class Prefilter:
             self.held.destroy()
 
 
-def prefilter(docs: DataFrame, marks_of: Marks, spacing: int, log2: int | None = None, wide: bool = True) -> Prefilter:
+def prefilter(docs: DataFrame, marks_of: Marks, spacing: int, log2: int | None = None, wide: bool = True, chunk: int = CHUNK, most_log2: int = MOST_LOG2) -> Prefilter:
     """The test says for which marks of a text the estimated count is 2 or more; all that truly occur twice are among them.
 
     ``spacing``: bytes of text for each mark, about. The sketch gets ``ROOM`` cells a mark, from a sum of text lengths; up to
     2**MOST_LOG2 cells a row it is merged to bit maps and broadcast. Beyond that, cells are counted by a shuffle of one number a mark and
     each document takes its own repeated ones along, so that the prefilter passes few at any size. Without ``wide`` the bit maps stop growing
-    there and pass more: for marks so dense that shuffling them costs what the second pass would.
+    at 2**``most_log2`` cells and pass more: for marks so dense that shuffling them costs what the second pass would. ``chunk``: marks that a task combines at a time.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if log2 is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         log2 = max(LEAST_LOG2, int(ROOM * size / spacing).bit_length())
         if not wide:
-            log2 = min(log2, MOST_LOG2)
+            log2 = min(log2, most_log2)
     if log2 > MOST_LOG2:
 
         def test(marks: np.ndarray, own: list[int] | None) -> np.ndarray:
             return np.isin(cells(marks, 0, WIDE_LOG2), np.array(own or (), np.int64))
 
         return Prefilter(docs.join(repeated_cells(docs, marks_of), "doc_id", "left").select("doc_id", "text", "own"), test, None)
-    held = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, marks_of, log2))
+    held = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, marks_of, log2, chunk))
 
     def test(marks: np.ndarray, own: list[int] | None) -> np.ndarray:
         out = np.ones(len(marks), bool)
