@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from latticework.operators import distances as ds
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
@@ -153,6 +154,28 @@ def _(s, d):
     return out
 
 
+HOPS = f"""{RECURSIVE}, {REACH}, z AS (SELECT component, count(*) AS size FROM k GROUP BY 1), top AS (SELECT * FROM z ORDER BY size DESC, component LIMIT 1)"""
+
+
+@add("hops_from_sources", f"""{HOPS}, h(source, id, hops) USING KEY (source, id) AS (SELECT id, id, 0 FROM n WHERE id % 50 = 1
+  UNION SELECT h.source, a.j, h.hops + 1 FROM h JOIN a ON a.i = h.id LEFT JOIN recurring.h o ON o.source = h.source AND o.id = a.j WHERE o.id IS NULL) SELECT source, id, hops FROM h""")
+def _(s, d):
+    """Hops from every fiftieth node to all that it reaches."""
+    return ds.hops(it.checkpointed(edges(s, d)), nodes(s, d).where("id % 50 = 1"))
+
+
+@add("connectivity_report", f"""{HOPS}, h(source, id, hops) USING KEY (source, id) AS (SELECT id, id, 0 FROM k WHERE component = (SELECT component FROM top)
+  UNION SELECT h.source, a.j, h.hops + 1 FROM h JOIN a ON a.i = h.id LEFT JOIN recurring.h o ON o.source = h.source AND o.id = a.j WHERE o.id IS NULL), x1 AS (SELECT source, max(hops) AS e FROM h GROUP BY 1),
+t AS (SELECT p.i AS id, count(*) AS t FROM a p JOIN a q ON q.i = p.j JOIN a r ON r.i = q.j AND r.j = p.i GROUP BY 1), c AS (SELECT sum(CASE WHEN degree > 1 THEN coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END) AS c FROM d LEFT JOIN t USING (id)),
+m AS (SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges)
+SELECT nodes, edges, (SELECT count(*) FROM z) AS components, (SELECT count(*) = 1 FROM z) AS is_connected, top.size AS largest, round(top.size / nodes, 6) AS share, (SELECT max(e) FROM x1)::BIGINT AS diameter, (SELECT min(e) FROM x1)::BIGINT AS radius,
+round(c / nodes, 6) AS clustering, round(2.0::DOUBLE * edges / (nodes * (nodes - 1)), 6) AS density FROM m, top, c""")
+def _(s, d):
+    found = ds.report(edges(s, d), nodes(s, d))
+    row = s.createDataFrame([found], "nodes long, edges long, components long, is_connected boolean, largest long, share double, diameter long, radius long, clustering double, density double")
+    return row.select(*(r6(c).alias(c) if c in ("share", "clustering", "density") else c for c in row.columns))
+
+
 @add("spectral_summary")
 def _(s, d):
     """How a coarse level keeps the low spectrum: the ratio of its smallest eigenvalues to the fine graph's, both without zeros."""
