@@ -179,12 +179,12 @@ def eliminate(edges: DataFrame, nodes: DataFrame, size: int, degree: int = 4, sh
     return edges, nodes, stages
 
 
-def setup(edges: DataFrame, nodes: DataFrame, elimination: bool = True, direct: int = 200, fast: float = 0.3, vectors: int = 4, more: int = 1, most_vectors: int = 10, index: float = 1.5, most: int = 100) -> list[Level]:
+def setup(edges: DataFrame, nodes: DataFrame, elimination: bool = False, direct: int = 200, fast: float = 0.3, vectors: int = 4, more: int = 1, most_vectors: int = 10, index: float = 1.5, most: int = 100) -> list[Level]:
     """Levels from the finest on: finest, then elimination and aggregation in turn until done.
 
     Done where the graph has fewer than ``direct`` nodes or no edges, the smooth filter takes random vectors down at rate ``fast`` or faster, aggregation joins nothing, or there are ``most``
-    levels. Each aggregation has its own test vectors, one of them that of the rate's test, ``more`` of them at each coarser level. Nodes without edges are
-    taken out by elimination; without it, they stay as clusters of one.
+    levels. Each aggregation has its own test vectors, one of them that of the rate's test, ``more`` of them at each coarser level. Nodes and clusters without
+    edges, components that are one node by now, have nothing left to solve and don't go on to the next level.
     """
     levels, state, columns = [_level("finest", edges, nodes)], "elimination" if elimination else "aggregation", vectors
     while state != "done" and len(levels) < most:
@@ -197,16 +197,18 @@ def setup(edges: DataFrame, nodes: DataFrame, elimination: bool = True, direct:
                 levels.append(_level("elimination", e, n, steps=stages))
             state = "aggregation"
             continue
-        at.rate, slow = filter_rate(at.edges, at.nodes, len(levels))
+        live = it.stored(g.degrees(at.edges).select("id"), "live")
+        at.rate, slow = filter_rate(at.edges, live, len(levels))
         if at.rate <= fast:
             break
-        random = lv.test_vectors(at.edges, at.nodes, columns - 1) if columns > 1 else at.nodes.select("id", F.array().cast("array<double>").alias("x"))
+        random = lv.test_vectors(at.edges, live, columns - 1) if columns > 1 else live.select("id", F.array().cast("array<double>").alias("x"))
         x = slow.join(random.withColumnRenamed("x", "others"), "id").select("id", F.concat(F.array("x"), "others").alias("x"))
-        assign, alpha, beta, stage = aggregate(at.edges, at.nodes, it.stored(x, "test-vectors"), columns, index)
+        assign, alpha, beta, stage = aggregate(at.edges, live, it.stored(x, "test-vectors"), columns, index)
         if alpha == 1:
             break
         assign = it.stored(assign, "aggregates")
-        levels.append(_level("aggregation", lv.coarse_edges(at.edges, assign), assign.select(F.col("cluster").alias("id")).distinct(), assign=assign, alpha=alpha, beta=beta, stage=stage))
+        coarse = it.stored(lv.coarse_edges(at.edges, assign), "level-edges")
+        levels.append(_level("aggregation", coarse, g.degrees(coarse).select("id"), assign=assign, alpha=alpha, beta=beta, stage=stage))
         columns, state = min(most_vectors, columns + more), "elimination" if elimination else "aggregation"
     return levels
 
@@ -309,7 +311,7 @@ class Solver:
                 held[there] = []
                 if below.kind == "aggregation":
                     r = self.residual(here, xs[here], bs[here])
-                    bs[there] = it.stored(r.join(below.assign, "id").groupBy(F.col("cluster").alias("id")).agg(F.sum("x").alias("x")), "rhs")
+                    bs[there] = it.stored(r.join(below.assign, "id").groupBy(F.col("cluster").alias("id")).agg(F.sum("x").alias("x")).join(below.nodes, "id", "left_semi"), "rhs")
                 else:
                     bs[there], sides[there] = self.reduced(bs[here], below)
                 xs[there] = zero(bs[there])
@@ -322,7 +324,7 @@ class Solver:
                     xs[here] = self.combined(xs[here], self.residual(here, xs[here], bs[here]), held[here][-2:])
                 if below.kind == "aggregation":
                     step = below.assign.join(xs[here].select(F.col("id").alias("cluster"), F.col("x").alias("e")), "cluster").select("id", "e")
-                    xs[there] = it.stored(xs[there].join(step, "id").select("id", (F.col("x") + F.col("e")).alias("x")), "corrected")
+                    xs[there] = it.stored(xs[there].join(step, "id", "left").select("id", (F.col("x") + F.coalesce("e", F.lit(0.0))).alias("x")), "corrected")
                     xs[there] = self.relaxed(there, xs[there], bs[there], self.after)
                 else:
                     xs[there] = self.filled(xs[here], sides[here], below)

@@ -73,7 +73,7 @@ def _(s, d):
 @add("amg_setup")
 def _(s, d):
     """A row for each level of the part graph: how it came about, its size, its filter's rate, alpha and beta, and nodes, edges and work so far by the finest's."""
-    found = amg.setup(it.checkpointed(edges(s, d)), nodes(s, d), direct=50)
+    found = amg.setup(it.checkpointed(edges(s, d)), nodes(s, d))
     rows = [(k, x.kind, x.size, x.links, x.rate, x.alpha, x.beta, x.stage, *amg.complexities(found[: k + 1])) for k, x in enumerate(found)]
     return s.createDataFrame(rows, "level int, kind string, nodes long, edges long, rate double, alpha double, beta double, stage int, node_complexity double, edge_complexity double, work double")
 
@@ -84,7 +84,7 @@ def _(s, d):
     e = it.checkpointed(edges(s, d))
     y = nodes(s, d).select("id", g.uniform(F.col("id"), 12).alias("x"))
     b = nodes(s, d).join(g.times_vector(g.laplacian(e), y), "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"))
-    x, _ = amg.Solver(amg.setup(e, nodes(s, d), direct=50)).solve(it.checkpointed(b), 1e-11)
+    x, _ = amg.Solver(amg.setup(e, nodes(s, d), most=2)).solve(it.checkpointed(b), 1e-11)
     x = x.join(it.connected_components(e, nodes(s, d)), "id")
     return x.join(x.groupBy("component").agg(F.avg("x").alias("m")), "component").select("id", r6(F.col("x") - F.col("m")).alias("x"))
 

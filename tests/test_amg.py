@@ -125,7 +125,7 @@ def test_filter_rate(spark):
 @pytest.fixture(scope="module")
 def grid(spark):
     edges = it.checkpointed(src.grid(spark, 9, 8))
-    return edges, amg.setup(edges, spark.range(73), direct=12)  # node 72 has no edges
+    return edges, amg.setup(edges, spark.range(73), elimination=True, direct=12)  # node 72 has no edges
 
 
 def test_levels(spark, grid):
@@ -174,7 +174,7 @@ def test_a_cycle_over_two_levels(spark):
 
 def test_elimination_alone_solves_a_tree(spark):
     edges, nodes = it.checkpointed(src.path(spark, 40, 0.5)), spark.range(40)
-    levels = amg.setup(edges, nodes, direct=3, most=2)
+    levels = amg.setup(edges, nodes, elimination=True, direct=3, most=2)
     assert [x.kind for x in levels] == ["finest", "elimination"] and len(levels[1].steps) > 1
     l = laplacian(dense(edges, 40))
     b = l @ np.cos(np.arange(40.0))
