@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -24,6 +26,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNSAFE = re.compile("\\s (?!\\S)|[\\x1c-\\x1f]")
 MOST_CHUNKS, MOST_WORDS = 500_000, 600_000  #: remembered in each Python worker
 MOST_TOKENS = 1_000_000  #: decoded at once
+LONGEST = 64  #: bytes of a word that is contracted as it is
 
 #: One turn contracts, in each word that has one, the leftmost pair of least rank. Rows know the position and token that follow.
 SHORT = """
@@ -43,33 +46,35 @@ WITH RECURSIVE step(word, pos, token, after, next, turn) AS (
 )
 SELECT word, token FROM (SELECT word, pos, token, turn, max(turn) OVER (PARTITION BY word) AS last FROM step) WHERE turn = last ORDER BY word, pos
 """
-#: For long words: one turn contracts all pairs of least rank from left to right, every second one of a row of overlapping pairs. Where a
-#: merge can bring forth a pair of no higher rank ("early"), only the leftmost pair, so that the order of merges stays the same.
-LONG = """
+#: For long words: one turn contracts the pairs of least rank from left to right, every second one of a row of overlapping pairs, up to the first whose new
+#: token makes a pair of lower rank with a neighbour ("wakes"), which then comes first: the order of merges stays that of one at a time. TURNS bounds the rows held.
+TURNS = 48
+LONG = f"""
 WITH RECURSIVE step(word, pos, token, turn) AS (
   SELECT word, pos, token, 0 FROM symbols
   UNION ALL
   (WITH pairs AS (
-     SELECT word, pos, token, turn, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM step),
+     SELECT word, pos, token, turn, lead(token) OVER (PARTITION BY word ORDER BY pos) AS next FROM step WHERE turn < {TURNS}),
    ranked AS MATERIALIZED (SELECT p.*, m.merged FROM pairs p LEFT JOIN merges m ON m.l = p.token AND m.r = p.next),
    best AS (SELECT word, min(merged) AS merged FROM ranked WHERE merged IS NOT NULL GROUP BY word),
-   marked AS MATERIALIZED (
+   marked AS (
      SELECT r.word, r.pos, r.token, r.turn, b.merged, coalesce(r.merged = b.merged, false) AS hit FROM ranked r JOIN best b ON b.word = r.word),
    rows AS (
-     SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island FROM marked),
-   numbered AS (
-     SELECT *, row_number() OVER (PARTITION BY word, hit, island ORDER BY pos) AS n, row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS nth FROM rows),
-   chosen AS (
-     SELECT n.word, n.pos, n.token, n.turn, n.merged, n.hit AND n.n % 2 = 1 AND (e.token IS NULL OR n.nth = 1) AS hit
-     FROM numbered n LEFT JOIN early e ON e.token = n.merged)
+     SELECT *, row_number() OVER w - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island,
+       lag(token) OVER w AS before, lead(token, 2) OVER w AS after FROM marked WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   chosen AS (SELECT *, hit AND row_number() OVER (PARTITION BY word, hit, island ORDER BY pos) % 2 = 1 AS taken FROM rows),
+   sided AS MATERIALIZED (SELECT *, CASE WHEN lag(taken, 2) OVER (PARTITION BY word ORDER BY pos) THEN merged ELSE before END AS left_token FROM chosen),
+   wakes AS (
+     SELECT c.word, min(c.pos) AS pos FROM sided c LEFT JOIN merges p ON p.l = c.left_token AND p.r = c.merged LEFT JOIN merges q ON q.l = c.merged AND q.r = c.after
+     WHERE c.taken AND (p.merged < c.merged OR q.merged < c.merged) GROUP BY c.word),
+   done AS (SELECT c.word, c.pos, c.token, c.turn, c.merged, c.taken AND c.pos <= coalesce(w.pos, c.pos) AS hit FROM sided c LEFT JOIN wakes w ON w.word = c.word)
    SELECT word, pos, CASE WHEN hit THEN merged ELSE token END, turn + 1
-   FROM (SELECT *, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS eaten FROM chosen) WHERE NOT eaten)
+   FROM (SELECT *, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS eaten FROM done) WHERE NOT eaten)
 )
-SELECT word, token FROM (SELECT word, pos, token, turn, max(turn) OVER (PARTITION BY word) AS last FROM step) WHERE turn = last ORDER BY word, pos
+SELECT word, pos, token FROM (SELECT word, pos, token, turn, max(turn) OVER (PARTITION BY word) AS last FROM step) WHERE turn = last ORDER BY word, pos
 """
 DECODE = """
-SELECT doc, sha256(unhex(string_agg(hex, ''))) AS digest
-FROM (SELECT doc, hex FROM ids JOIN vocabulary USING (token) ORDER BY pos) GROUP BY doc
+SELECT doc, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS digest FROM ids JOIN vocabulary USING (token) GROUP BY doc
 """
 
 
@@ -92,12 +97,15 @@ class Codec:
         self.pieces = regex.compile(pattern.replace("[^\\s", f"[^{SPACE}").replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]"))
         self.single = [self.tokens[bytes([b])] for b in range(256)]
         merges = [(self.tokens[t[:k]], self.tokens[t[k:]], n) for t, n in self.tokens.items() for k in range(1, len(t)) if t[:k] in self.tokens and t[k:] in self.tokens]
-        early = {n for a, b, m in merges for n in (a, b) if m <= n}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.inside = np.zeros((256, 256), bool)  # byte pairs that occur in a token
+        for t in self.tokens:
+            at = np.frombuffer(t, np.uint8)
+            self.inside[at[:-1], at[1:]] = True
+        spill = os.path.join(os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).partition(",")[0], f"bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": spill})
         self.db.execute("SET preserve_insertion_order = true").fetchall()
         for name, frame in (
             ("merges", pd.DataFrame(merges, columns=["l", "r", "merged"], dtype=np.int32)),
-            ("early", pd.DataFrame({"token": np.array(sorted(early), np.int32)})),
             ("vocabulary", pd.DataFrame({"token": np.fromiter(self.tokens.values(), np.int32), "hex": [t.hex() for t in self.tokens]})),
         ):
             self.db.register("frame", frame)
@@ -106,6 +114,12 @@ class Codec:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _query(self, query: str, symbols: pa.Table) -> dict[str, np.ndarray]:
+        self.db.register("symbols", symbols)
+        found = self.db.execute(query).fetchnumpy()
+        self.db.unregister("symbols")
+        return found
+
     def _contract(self, words: list[bytes], query: str) -> list[bytes]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         each = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -114,25 +128,35 @@ class Codec:
         end = np.zeros(len(each), bool)
         end[np.cumsum(sizes) - 1] = True
         symbols = {"word": each, "pos": pos, "token": token, "after": pa.array(pos + 1, mask=end), "next": pa.array(np.r_[token[1:], np.int32(0)], mask=end)}
-        self.db.register("symbols", pa.table(symbols))
-        found = self.db.execute(query).fetchnumpy()
-        self.db.unregister("symbols")
+        found, before = self._query(query, pa.table(symbols)), len(each)
+        while query is LONG and len(found["token"]) < before:
+            before = len(found["token"])
+            found = self._query(query, pa.table({c: found[c] for c in ("word", "pos", "token")}))
         ends = np.searchsorted(found["word"], np.arange(len(words)), side="right")
         ids, cuts = found["token"].astype("<u2").tobytes(), [0, *(2 * ends).tolist()]
         return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
+    def parted(self, word: bytes) -> list[bytes]:
+        """A long word, cut between two bytes that no token holds side by side: no merge ever crosses there."""
+        at = np.frombuffer(word, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.inside[at[:-1], at[1:]]) + 1).tolist(), len(word)]
+        return [word[i:j] for i, j in zip(cuts, cuts[1:])]
+
     def encode_words(self, words: list[bytes], at_once: int = 800_000) -> dict[bytes, bytes]:
         """Ids, 16 bits each, of separate matches of the pattern."""
         out = {w: self.tokens[w].to_bytes(2, "little") for w in words if w in self.tokens}
-        rest = sorted((w for w in words if w not in out), key=len)
+        long = {w: self.parted(w) for w in words if w not in out and len(w) > LONGEST}
+        parts = {x for xs in long.values() for x in xs}
+        out |= {x: self.tokens[x].to_bytes(2, "little") for x in parts if x in self.tokens}
+        rest = sorted((x for x in {*words, *parts} if x not in out and (x in parts or x not in long)), key=len)
         at = 0
         while at < len(rest):
-            short, n, to = len(rest[at]) <= 64, 0, at
-            while to < len(rest) and (to == at or n + len(rest[to]) <= at_once) and (len(rest[to]) <= 64) == short:
+            short, n, to = len(rest[at]) <= LONGEST, 0, at
+            while to < len(rest) and (to == at or n + len(rest[to]) <= at_once) and (len(rest[to]) <= LONGEST) == short:
                 n, to = n + len(rest[to]), to + 1
             out |= zip(rest[at:to], self._contract(rest[at:to], SHORT if short else LONG))
             at = to
-        return out
+        return out | {w: b"".join([out[x] for x in xs]) for w, xs in long.items()}
 
     def _learn(self, chunks: set[str]) -> None:
         split = {c: self.pieces.findall(c) for c in chunks}
