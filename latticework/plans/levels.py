@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
+from latticework.operators import sage
 from latticework.operators import spectra as sp
+from latticework.operators import walks as wk
 from latticework.plans.common import Queries, r6
 from latticework.plans.features import V_SQL, feature_graph, vectors
 from latticework.plans.graphs import REACH, RECURSIVE, WITH, assign, edges, nodes, signal, u_sql
@@ -158,3 +160,38 @@ def _(s, d):
     x = lv.wide(lv.embedding(it.checkpointed(fused), it.checkpointed(ids)))
     labels = src.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 10 < 8).alias("train"))
     return lv.scored(x.join(labels, "id").select("x", "label", "train"))
+
+
+def trained(s, d):
+    """Edges kept for training, all edges, support rows and weights of the neighbourhood model on the feature graph of the vectors; edges of i + j divisible by 10 are held out."""
+    x = vectors(s, d).where("x is not null")
+    size = x.select(F.max(F.size("x"))).first()[0]
+    x = it.checkpointed(x.where(F.size("x") == size))
+    every = it.checkpointed(feature_graph(x, 3))
+    kept = every.where("(i + j) % 10 <> 0")
+    rows = it.stored(sage.support(kept, x.select("id", "x")), "sage-support")
+    walks = wk.first_order(kept, x.select("id"), 4, 5)
+    w, losses = sage.train(wk.context_pairs(walks), kept, rows, size)
+    return every, kept, rows, w, losses
+
+
+@add("sage_training")
+def _(s, d):
+    """Mean loss of each step, each before its move, over context pairs of walks of five steps."""
+    losses = trained(s, d)[-1]
+    return s.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double")
+
+
+@add("sage_mrr")
+def _(s, d):
+    """Mean reciprocal ranks of kept and held-out edges among 100 nodes drawn by degree^0.75: by the trained vectors and by those of untrained weights."""
+    every, kept, rows, w, _ = trained(s, d)
+    pairs = it.checkpointed(every.select(F.col("i").alias("id"), F.col("j").alias("context"), ((F.col("i") + F.col("j")) % 10 == 0).alias("held_out")))
+    others = it.checkpointed(sage.negatives(g.degrees(kept).select("id", "degree"), 1000, 100))
+    out = None
+    for name, weights in (("trained", w), ("untrained", sage.start(*w["own1"].shape))):
+        z = it.stored(sage.embedded(rows, weights), "sage-vectors")
+        ranks = sage.reciprocal_ranks(z, pairs.select("id", "context"), others).join(pairs, ["id", "context"])
+        row = ranks.groupBy("held_out").agg(F.count("*").alias("pairs"), F.avg("reciprocal").alias("mrr")).withColumn("weights", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
