@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import special as sp
 from latticework.operators import amg
+from latticework.operators import energies as en
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import levels as lv
@@ -41,6 +42,42 @@ def _(s, d):
     return mg.energy_factor(edges(s, d), assign(s, d), lv.long(lv.random_vectors(nodes(s, d)))).select(r6("factor").alias("factor"))
 
 
+FITTED = f"""{WITH}, {TV}, ta AS (SELECT id, cluster, c, x[c] AS x FROM tv JOIN s USING (id), unnest(range(1, 8)) AS u(c)), ma AS (SELECT cluster, c, avg(x) AS x FROM ta GROUP BY 1, 2), mx AS (SELECT cluster, list(x ORDER BY c) AS x FROM ma GROUP BY 1),
+ce AS (SELECT least(p.cluster, q.cluster) AS lo, greatest(p.cluster, q.cluster) AS hi, sum(w) AS w FROM e JOIN s p ON p.id = i JOIN s q ON q.id = j WHERE p.cluster <> q.cluster GROUP BY 1, 2),
+fe AS (SELECT p.cluster AS id, p.c, sum(v * (p.x - q.x) ** 2) / 2 AS fine FROM a JOIN ta p ON p.id = i JOIN ta q ON q.id = j AND q.c = p.c GROUP BY 1, 2),
+cc AS (SELECT lo AS i, hi AS j, w FROM ce UNION ALL SELECT hi, lo, w FROM ce), be AS (SELECT i AS id, p.c, sum(w * (p.x - q.x) ** 2) / 2 AS coarse FROM cc JOIN ma p ON p.cluster = i JOIN ma q ON q.cluster = j AND q.c = p.c GROUP BY 1, 2),
+fb AS (SELECT id, c, fine, coalesce(coarse, 0) AS coarse FROM fe LEFT JOIN be USING (id, c)), nf AS (SELECT id, CASE WHEN sum(coarse ** 2) > 0 THEN sum(fine * coarse) / sum(coarse ** 2) ELSE 1 END AS factor FROM fb GROUP BY 1)"""
+GREEDY = f"""{FITTED}, ct AS (SELECT lo, hi, w, list_transform(range(1, 8), lambda k: (p.x[k] - q.x[k]) * (p.x[k] - q.x[k])) AS a FROM ce JOIN mx p ON p.cluster = lo JOIN mx q ON q.cluster = hi),
+ht AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY w DESC, lo, hi) AS nth FROM (SELECT lo AS e, * FROM ct UNION ALL SELECT hi, * FROM ct)) WHERE nth <= 4),
+ft AS (SELECT i, j, w, sp.cluster AS ci, sq.cluster AS cj, list_transform(range(1, 8), lambda k: (p.x[k] - q.x[k]) * (p.x[k] - q.x[k])) AS b FROM e JOIN tv p ON p.id = i JOIN tv q ON q.id = j JOIN s sp ON sp.id = i JOIN s sq ON sq.id = j),
+ca AS (SELECT i, j, ft.w, b, lo, hi, a FROM ft JOIN ht ON ht.e = ci OR ht.e = cj UNION SELECT i, j, ft.w, b, lo, hi, a FROM ft JOIN ct ON lo = least(ci, cj) AND hi = greatest(ci, cj)),
+cs AS (SELECT *, list_inner_product(b, b) AS bb, list_inner_product(a, b) AS ab, list_inner_product(a, a) AS aa FROM ca), c1 AS (SELECT *, bb - ab * ab / aa AS rest FROM cs WHERE aa > 0 AND ab > 0),
+f1 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY rest, lo, hi) = 1),
+pr AS (SELECT c1.*, f1.ab AS fab, f1.aa AS faa, f1.rest AS frest, list_inner_product(f1.a, c1.a) AS x FROM c1 JOIN f1 USING (i, j) WHERE (c1.lo <> f1.lo OR c1.hi <> f1.hi) AND f1.rest > 1e-9 * c1.bb),
+pd AS (SELECT *, (fab * aa - ab * x) / (faa * aa - x * x) AS p, (ab * faa - fab * x) / (faa * aa - x * x) AS q FROM pr WHERE faa * aa - x * x > 1e-9 * faa * aa),
+s2 AS (SELECT *, bb - p * fab - q * ab AS least_rest FROM pd WHERE p > 0 AND q > 0 QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY bb - p * fab - q * ab, lo, hi) = 1), s3 AS (SELECT * FROM s2 WHERE least_rest < frest),
+gt AS (SELECT f1.i, f1.j, f1.w, f1.lo, f1.hi, coalesce(s3.p, f1.ab / f1.aa) AS q FROM f1 LEFT JOIN s3 ON s3.i = f1.i AND s3.j = f1.j UNION ALL SELECT i, j, w, lo, hi, q FROM s3)"""
+
+
+@add("energy_adaptive", f"{FITTED} SELECT id, (c - 1)::INT AS c, round(CASE WHEN coarse > 0 THEN fine / coarse END, 6) AS factor FROM fb")
+def _(s, d):
+    """A factor for each cluster and vector."""
+    return en.adaptive(edges(s, d), lv.random_vectors(nodes(s, d)), assign(s, d)).select("id", F.col("c").cast("int").alias("c"), r6("factor").alias("factor"))
+
+
+@add("energy_nodal_ls", f"{FITTED} SELECT lo AS i, hi AS j, round(w * (p.factor + q.factor) / 2, 6) AS w FROM ce JOIN nf p ON p.id = lo JOIN nf q ON q.id = hi")
+def _(s, d):
+    """Coarse edges with weights fitted by clusters."""
+    return en.nodal_edges(edges(s, d), lv.random_vectors(nodes(s, d)), assign(s, d)).select("i", "j", r6("w").alias("w"))
+
+
+@add("energy_greedy_ls", f"{GREEDY} SELECT lo AS i, hi AS j, count(*) AS terms, round(sum(w * q), 6) AS w FROM gt GROUP BY 1, 2")
+def _(s, d):
+    """Coarse edges with weights fitted fine edge by fine edge."""
+    found = en.greedy_terms(edges(s, d), lv.random_vectors(nodes(s, d)), assign(s, d))
+    return found.groupBy(F.col("lo").alias("i"), F.col("hi").alias("j")).agg(F.count("*").alias("terms"), r6(F.sum(F.col("w") * F.col("q"))).alias("w"))
+
+
 COLOURS = f"""o AS (SELECT id, row_number() OVER (ORDER BY {u_sql('id', 5)} DESC, id) AS p FROM n), nb AS (SELECT f.p, list(t.p) AS nb FROM a JOIN o f ON f.id = i JOIN o t ON t.id = j WHERE t.p < f.p GROUP BY 1),
 om AS (SELECT list(coalesce(nb, []) ORDER BY o.p) AS nb, count(*) AS n FROM o LEFT JOIN nb USING (p)),
 cl AS (SELECT []::BIGINT[] AS c FROM om UNION ALL SELECT list_append(c, list_filter(range(0, len(nb[len(c) + 1]) + 1), lambda k: NOT list_contains(list_transform(nb[len(c) + 1], lambda q: c[q]), k))[1]) FROM cl, om WHERE len(c) < n),
