@@ -88,16 +88,27 @@ def read_graph(spark: SparkSession, path_: str) -> DataFrame:
     return readers[ending]()
 
 
+def matrix_entries(lines: DataFrame, document: str) -> DataFrame:
+    """(``document``, i, j, v), 0-based, of the lines (value, document column, place) of many coordinate files at once.
+
+    Banners, comments and blank lines are left out, as is each document's size line, its first other one; missing values are 1, "symmetric" and "skew-symmetric" banners expanded, lines without two whole numbers skipped.
+    """
+    text = F.trim("value")
+    about = lines.where(~text.startswith("%") & (text != "")).groupBy(document).agg(F.min("place").alias("size"))
+    banner = lines.where(text.startswith("%%")).groupBy(document).agg(F.lower(F.min_by("value", "place")).alias("banner"))
+    part = F.split(text, r"\s+")
+    body = lines.where(~text.startswith("%") & (text != "")).join(about.join(banner, document, "left"), document).where("place <> size")
+    number = lambda k: F.try_element_at(part, F.lit(k)).try_cast("long") - 1
+    m = body.select(document, number(1).alias("i"), number(2).alias("j"), F.coalesce(F.try_element_at(part, F.lit(3)).try_cast("double"), F.lit(1.0)).alias("v"), "banner").where("i is not null and j is not null")
+    sign = F.when(F.col("banner").contains("skew-symmetric"), -1.0).when(F.col("banner").contains("symmetric"), 1.0)
+    ends = F.array(F.struct("i", "j", "v"), F.when(sign.isNotNull() & (F.col("i") != F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (sign * F.col("v")).alias("v"))))
+    return m.select(document, F.explode(ends).alias("e")).where("e is not null").select(document, "e.*")
+
+
 def read_matrix_market(spark: SparkSession, path_: str) -> DataFrame:
-    """(i, j, v), 0-based, of a coordinate file; lines of "%" and the size line are left out, missing values are 1 and a symmetric header is expanded."""
-    lines = spark.read.text(path_).withColumn("n", F.monotonically_increasing_id())
-    head = lines.orderBy("n").limit(1).first()
-    symmetric = head is not None and head["value"].startswith("%%") and "symmetric" in head["value"].lower()
-    body = lines.where("not startswith(ltrim(value), '%') and trim(value) <> ''")
-    first = body.agg(F.min("n")).first()[0]
-    part = F.split(F.trim("value"), r"\s+")
-    m = body.where(F.col("n") != first).select((part[0].cast("long") - 1).alias("i"), (part[1].cast("long") - 1).alias("j"), F.coalesce(F.try_element_at(part, F.lit(3)).try_cast("double"), F.lit(1.0)).alias("v"))
-    return m.unionAll(m.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")) if symmetric else m
+    """(i, j, v), 0-based, of a coordinate file or a folder of its parts in order of names, by the rules of ``matrix_entries``."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    return matrix_entries(spark.read.text(path_).select("value", F.lit(0).alias("document"), place.alias("place")), "document").select("i", "j", "v")
 
 
 def read_node_link(spark: SparkSession, path_: str) -> tuple[DataFrame, DataFrame]:
