@@ -73,8 +73,11 @@ WITH RECURSIVE step(word, pos, token, turn) AS (
 )
 SELECT word, pos, token FROM (SELECT word, pos, token, turn, max(turn) OVER (PARTITION BY word) AS last FROM step) WHERE turn = last ORDER BY word, pos
 """
+#: Rows are put in order once and aggregated as they come: with one thread and insertion order preserved, as set below, a group's rows keep it. An order
+#: inside the aggregate takes 2.5 times as long.
 DECODE = """
-SELECT doc, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS digest FROM ids JOIN vocabulary USING (token) GROUP BY doc
+SELECT doc, sha256(unhex(string_agg(hex, ''))) AS digest
+FROM (SELECT doc, hex FROM ids JOIN vocabulary USING (token) ORDER BY pos) GROUP BY doc
 """
 
 
