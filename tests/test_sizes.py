@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from latticework.operators import graph as g
 from latticework.sources import graphs as src
 
 
@@ -28,3 +29,21 @@ def test_tasks_of_the_part_graph_are_dealt_by_rows(spark, orders, monkeypatch):
 
 def test_partitions_follow_the_rows(spark):
     assert [src.dealt(spark, n) for n in (0, 1, 50_000_000, 300_000_000)] == [1, 1, 100, 600]
+
+
+def test_numbers_of_large_ids(spark):
+    """Pairs of ids of a million and more, hashed as i * 7919 + j, are beyond 2^63 once multiplied."""
+    p, ids = 2147483647, [5, 9_503_960_000, 1 << 40]
+
+    def plain(i: int, c: int) -> float:
+        z = (i * 1103515245 + (c + 1) * 620899117 + 7) % p
+        z = (z * z + c + 1) % p
+        return (z * z + i) % p / p
+
+    found = spark.createDataFrame([(i,) for i in ids], "id long").select("id", g.uniform(F.col("id"), 3).alias("u")).collect()
+    assert {r.id: r.u for r in found} == {i: plain(i, 3) for i in ids}
+
+
+def test_samples_of_large_ids(spark):
+    edges = spark.createDataFrame([(2_000_000, 2_000_000 + k, 1.0) for k in range(1, 7)], "i long, j long, w double")
+    assert g.sampled_neighbours(edges, 4).count() == 7 * 4
