@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from latticework.plans.analytics import R_SQL, runs
-from latticework.plans.common import Queries, same
+from latticework.plans.common import Queries, rounded, same
 from latticework.sources.graphs import table
 
 QUERIES = Queries()
@@ -71,16 +71,17 @@ def _(s, d):
 @add("ema_series", """WITH k AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE value IS NOT NULL)
 SELECT user_id, event_id, round(sum(value * CASE WHEN k = 1 THEN 1 ELSE 0.01 END * power(0.99, -k)) OVER (PARTITION BY user_id ORDER BY k) * power(0.99, k), 4) AS ema FROM k""")
 def _(s, d):
-    """The running average at every event: within blocks of 1,000 events by a window sum of weights that stay in range, plus what the four blocks before leave (older ones weigh less than 0.99^4000)."""
+    """The running average at every event, places from 1 as in SQL, whose sums of few terms it equals to the bit: within blocks of 1,000 events by a window sum of weights that stay in range, plus what the four blocks before leave (older ones weigh less than 0.99^4000)."""
     e = table(s, d, "events").where("value is not null")
-    k = e.select("user_id", "event_id", "value", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("k"))
-    k = k.select("user_id", "event_id", F.floor(F.col("k") / 1000).alias("block"), (F.col("k") % 1000).alias("p"), (F.col("value").cast("double") * F.when(F.col("k") == 0, 1.0).otherwise(0.01)).alias("v"))
+    k = e.select("user_id", "event_id", "value", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
+    block = F.floor((F.col("k") - 1) / 1000)
+    k = k.select("user_id", "event_id", block.alias("block"), (F.col("k") - block * 1000).alias("p"), (F.col("value").cast("double") * F.when(F.col("k") == 1, 1.0).otherwise(0.01)).alias("v"))
     power = lambda c: F.pow(F.lit(0.99), c)
-    whole = k.groupBy("user_id", "block").agg(F.sum(F.col("v") * power(999 - F.col("p"))).alias("s"))
+    whole = k.groupBy("user_id", "block").agg(F.sum(F.col("v") * power(1000 - F.col("p"))).alias("s"))
     before = F.array(*(F.lag("s", b, 0.0).over(Window.partitionBy("user_id").orderBy("block")) * 0.99 ** (1000 * (b - 1)) for b in (1, 2, 3, 4)))
     left = whole.select("user_id", "block", F.aggregate(before, F.lit(0.0), lambda a, b: a + b).alias("left"))
     inside = F.sum(F.col("v") * power(-F.col("p"))).over(Window.partitionBy("user_id", "block").orderBy("p")) * power(F.col("p"))
-    return k.withColumn("inside", inside).join(left, ["user_id", "block"]).select("user_id", "event_id", F.round(F.col("inside") + F.col("left") * power(F.col("p") + 1), 4).alias("ema"))
+    return k.withColumn("inside", inside).join(left, ["user_id", "block"]).select("user_id", "event_id", rounded(F.col("inside") + F.col("left") * power(F.col("p")), 4).alias("ema"))
 
 
 @add("cumprod_cycle", "SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, round(exp(sum(ln(1 + l_discount)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_discount)), 6) AS product FROM lineitem")
