@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from latticework.operators import graph as g
+from latticework.plans import registry
 from latticework.sources import graphs as src
 
+DATA = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def orders(spark, tmp_path_factory):
@@ -47,3 +50,11 @@ def test_numbers_of_large_ids(spark):
 def test_samples_of_large_ids(spark):
     edges = spark.createDataFrame([(2_000_000, 2_000_000 + k, 1.0) for k in range(1, 7)], "i long, j long, w double")
     assert g.sampled_neighbours(edges, 4).count() == 7 * 4
+
+
+def test_all_pairs_of_a_remainder_are_compared(spark):
+    """Vectors of one remainder by 64, far apart in the table, are pairs: n (n - 1) / 2 for each."""
+    n = {r.c: r["count"] for r in src.table(spark, DATA, "embeddings").groupBy((F.col("vec_id") % 64).alias("c")).count().collect()}
+    for name in ("vec_cosine", "vec_affinity", "vec_l2"):
+        found = registry.queries()[name](spark, DATA)
+        assert found.where("(j - i) % 64 = 0 and i < j").count() == found.count() == sum(k * (k - 1) // 2 for k in n.values())
