@@ -16,12 +16,12 @@ def _dot(a: Column | str, b: Column | str) -> Column:
 
 def means(x: DataFrame, assign: DataFrame) -> DataFrame:
     """(id, x): cluster means of all columns."""
-    return lv.wide(lv.long(x).join(assign, "id").groupBy(F.col("cluster").alias("id"), "c").agg(F.avg("x").alias("x")))
+    return lv.wide(lv.long(x).join(assign.hint("merge"), "id").groupBy(F.col("cluster").alias("id"), "c").agg(F.avg("x").alias("x")))
 
 
 def _on_edges(edges: DataFrame, x: DataFrame) -> DataFrame:
     """(i, j, w, b): squared differences across each edge, a number a column."""
-    both = edges.join(x.select(F.col("id").alias("i"), F.col("x").alias("p")), "i").join(x.select(F.col("id").alias("j"), F.col("x").alias("q")), "j")
+    both = edges.join(x.select(F.col("id").alias("i"), F.col("x").alias("p")).hint("merge"), "i").join(x.select(F.col("id").alias("j"), F.col("x").alias("q")).hint("merge"), "j")
     return both.select("i", "j", "w", F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)).alias("b"))
 
 

@@ -13,13 +13,13 @@ from latticework.operators import levels as lv
 
 def column_energies(edges: DataFrame, x: DataFrame) -> DataFrame:
     """(c, energy): sum of w (x_i - x_j)^2 of each column of (id, c, x)."""
-    both = edges.join(x.select(F.col("id").alias("i"), "c", F.col("x").alias("xi")), "i").join(x.select(F.col("id").alias("j"), "c", F.col("x").alias("xj")), ["j", "c"])
+    both = edges.join(x.select(F.col("id").alias("i"), "c", F.col("x").alias("xi")).hint("merge"), "i").join(x.select(F.col("id").alias("j"), "c", F.col("x").alias("xj")).hint("merge"), ["j", "c"])
     return both.groupBy("c").agg(F.sum(F.col("w") * (F.col("xi") - F.col("xj")) ** 2).alias("energy"))
 
 
 def energy_factor(edges: DataFrame, assign: DataFrame, x: DataFrame) -> DataFrame:
     """One row (factor): the mean, over columns of (id, c, x), of the energy of cluster means on the coarse graph by that of x."""
-    coarse = x.join(assign, "id").groupBy(F.col("cluster").alias("id"), "c").agg(F.avg("x").alias("x"))
+    coarse = x.join(assign.hint("merge"), "id").groupBy(F.col("cluster").alias("id"), "c").agg(F.avg("x").alias("x"))
     fine = column_energies(edges, x).join(column_energies(lv.coarse_edges(edges, assign), coarse).withColumnRenamed("energy", "below"), "c")
     return fine.where("energy > 0").agg(F.avg(F.col("below") / F.col("energy")).alias("factor"))
 

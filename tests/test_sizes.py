@@ -5,7 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from latticework.operators import energies as en
 from latticework.operators import graph as g
+from latticework.operators import levels as lv
+from latticework.operators import multigrid as mg
 from latticework.plans import registry
 from latticework.sources import graphs as src
 
@@ -58,3 +61,13 @@ def test_all_pairs_of_a_remainder_are_compared(spark):
     for name in ("vec_cosine", "vec_affinity", "vec_l2"):
         found = registry.queries()[name](spark, DATA)
         assert found.where("(j - i) % 64 = 0 and i < j").count() == found.count() == sum(k * (k - 1) // 2 for k in n.values())
+
+
+def test_vectors_over_nodes_are_never_broadcast(spark):
+    """A node table's estimate says nothing on the many rows made of it."""
+    x = lv.random_vectors(src.part_nodes(spark, DATA))
+    e = src.part_edges(spark, DATA)
+    assign = src.part_nodes(spark, DATA).select("id", (F.col("id") % 16).alias("cluster"))
+    for made in (lv.times_columns(g.both_ways(e), lv.long(x)), lv.affinity_matrix(e, x), mg.column_energies(e, lv.long(x)), en.means(x, assign)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
