@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import line_dedup, packing, quality, simhash_dedup, substring_dedup
-from latticework.llm.common import table, written
+from latticework.llm.common import components, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -27,9 +27,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word similarity of 0.8 or more, the one with the smallest doc_id stays; texts without words are one group."""
-    found = simhash_dedup.similar_documents(docs)
-    return _documents(docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti"))
+    """Of each group of documents linked by SimHash fingerprints within 4 bits, or by a five-word similarity of 0.8 or more, most of which fingerprints miss, the one with the smallest doc_id stays; texts without words are one group."""
+    links = None
+    for name, found in (("simhash", simhash_dedup.near_duplicates(docs)), ("similar", simhash_dedup.similar_documents(docs))):
+        part = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), f"near-{name}")
+        links = part if links is None else links.unionAll(part)
+    gone = components(links, "near-cc").where("id <> root").select(F.col("id").alias("doc_id"))
+    return _documents(docs.join(gone, "doc_id", "left_anti"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
