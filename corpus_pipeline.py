@@ -28,10 +28,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by SimHash fingerprints within 4 bits, or by a five-word similarity of 0.8 or more, most of which fingerprints miss, the one with the smallest doc_id stays; texts without words are one group."""
-    links = None
-    for name, found in (("simhash", simhash_dedup.near_duplicates(docs)), ("similar", simhash_dedup.similar_documents(docs))):
-        part = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), f"near-{name}")
-        links = part if links is None else links.unionAll(part)
+    found = (simhash_dedup.near_duplicates(docs), simhash_dedup.similar_documents(docs))
+    simhash, similar = (x.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in found)
+    links = simhash.unionAll(similar)
     gone = components(links, "near-cc").where("id <> root").select(F.col("id").alias("doc_id"))
     return _documents(docs.join(gone, "doc_id", "left_anti"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from latticework.llm import simhash_dedup
+from latticework.llm import common, simhash_dedup
 
 DATA = "/root/testdata/sf0.01"
 
@@ -15,3 +15,16 @@ def test_fingerprints_link_what_sets_of_runs_do_not(spark):
     similar = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs).collect()}
     assert similar == {1: 1, 2: 2, 3: 3}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {1, 3}
+
+
+def test_components_take_no_step_to_confirm_stars(spark, monkeypatch):
+    """What the driver plans and runs: a table of the edges and one for each step that changes them, none for an empty table."""
+    made = []
+    real = common.written
+    monkeypatch.setattr(common, "written", lambda df, label: made.append(label) or real(df, label))
+    cases = (([], {}, 1), ([(5, 2), (7, 2), (9, 8), (8, 9), (4, 4)], {2: 2, 5: 2, 7: 2, 8: 8, 9: 8}, 1), ([(k, k + 1) for k in range(40)], dict.fromkeys(range(41), 0), None), ([(1, 3), (2, 3), (1, 2)], {1: 1, 2: 1, 3: 1}, 2))
+    for edges, roots, tables in cases:
+        made.clear()
+        found = common.components(spark.createDataFrame(edges, "a long, b long"), "cc").collect()
+        assert {r.id: r.root for r in found} == roots and len(found) == len(roots)
+        assert tables in (None, len(made))
