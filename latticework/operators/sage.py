@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
-from latticework.operators.spectra import mapped, summed
+from latticework.operators.spectra import ROWS, _lists, _rows, mapped, summed
 
 NAMES = ("own1", "near1", "own2", "near2")
 
@@ -55,7 +57,7 @@ def backward(w: dict[str, np.ndarray], z: np.ndarray, held: tuple, dz: np.ndarra
     below[:, 0] = out[:, :size] @ w["own2"].T
     below[:, 1:] = (out[:, size:] @ w["near2"].T)[:, None] / (hidden.shape[1] - 1)
     below *= hidden > 0
-    first = [np.einsum("bkf,bkd->fd", s[:, :, side], below[:, :, side * size : (side + 1) * size]) for side in (0, 1)]
+    first = [s[:, :, side].reshape(-1, s.shape[3]).T @ below[:, :, side * size : (side + 1) * size].reshape(-1, size) for side in (0, 1)]
     return np.concatenate([x.ravel() for x in (*first, hidden[:, 0].T @ out[:, :size], mean.T @ out[:, size:])])
 
 
@@ -94,29 +96,85 @@ def negatives(weights: DataFrame, step: int, many: int) -> DataFrame:
     return weights.orderBy(key, "id").limit(many).select("id")
 
 
+def pulls(own: np.ndarray, other: np.ndarray, about: np.ndarray) -> np.ndarray:
+    """For each pair seen from one of its ends: the gradient of its true term by that end's unit vector, then its loss and its number of pairs if that end is the first.
+
+    about: how often the pair occurs, and whether this end is the first (0 or 1).
+    """
+    true, (many, first) = (own * other).sum(axis=1), about.T
+    return np.column_stack([(-many / (1 + np.exp(true)))[:, None] * other, first * many * np.logaddexp(0, -true), first * many])
+
+
+def node_gradient(w: dict[str, np.ndarray], s: np.ndarray, pull: np.ndarray, others: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """Pairs, loss, gradient by the weights and, for the way back of ``others`` (unit vectors), that by them; from nodes' support rows and the sums of their ``pulls``."""
+    total = 0.0
+    for at in range(0, len(s), rows):
+        z, held = forward(w, s[at : at + rows])
+        pulled, loss, many = np.split(pull[at : at + rows], [z.shape[1], z.shape[1] + 1], axis=1)
+        false = z @ others.T
+        by_false = many / (1 + np.exp(-false))
+        losses = loss.sum() + (many * np.logaddexp(0, false)).sum()
+        total = total + np.concatenate([[many.sum(), losses], backward(w, z, held, pulled + by_false @ others), (by_false.T @ z).ravel()])
+    return total
+
+
+def pulled(ends: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """(id, q): sums of ``pulls`` for each node of (a, b, many, first), both of whose nodes have unit vectors (id, q). A node may have several rows, one for each batch of a task at most."""
+    own, other = vectors.select(F.col("id").alias("a"), F.col("q").alias("za")), vectors.select(F.col("id").alias("b"), F.col("q").alias("zb"))
+    met = ends.join(other.hint("shuffle_hash"), "b").join(own.hint("shuffle_hash"), "a").select("a", "za", "zb", F.array("many", "first").alias("about"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                ids, at = np.unique(b.column(0).to_numpy(), return_inverse=True)
+                out = np.zeros((len(ids), width + 2))
+                np.add.at(out, at, pulls(*(_rows(b.column(k)) for k in (1, 2, 3))))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(out)], ["id", "q"])
+
+    return met.mapInArrow(run, ROWS)
+
+
 def train(pairs: DataFrame, edges: DataFrame, rows: DataFrame, features: int, size: int = 32, batches: int = 8, passes: int = 2, many: int = 20, rate: float = 0.01, w: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
     """Weights, and the mean loss of each step, from (id, context) pairs and ``support`` rows.
 
-    Pairs get their rows by two joins, once, and lie in a table parted by batch, so a step reads its batch alone. A step sums its gradient in the cluster (as many numbers a
-    task as there are weights); ``many`` negative rows and the weights travel with the tasks, none of which grows with the data. Batches are hashed: lost tasks see the same pairs.
+    Pairs lie in a table parted by batch, as bare ids with their number, seen from either end. A step turns each support row into a unit vector, joins these with its pairs, sums
+    what pairs pull at each node, and goes back through each node's row once, however many pairs it has; support rows are never joined with pairs nor shuffled, as they stay dealt by node.
+    Gradients are summed in the cluster (as many numbers a task as there are weights); ``many`` negative rows and the weights travel with the tasks, none of which grows with the data.
+    Batches are hashed: lost tasks see the same pairs.
     """
-    batch = F.pmod(F.xxhash64("id", "context"), F.lit(batches)).cast("int").alias("batch")
-    a, b = rows.select("id", F.col("s").alias("u")), rows.select(F.col("id").alias("context"), F.col("s").alias("v"))
-    path = it.scratch(pairs.sparkSession, "sage-pairs")
-    pairs.join(a, "id").join(b, "context").select("id", "u", "v", batch).write.partitionBy("batch").parquet(path)
-    table = pairs.sparkSession.read.parquet(path)
-    counts = {r.batch: r["count"] for r in table.groupBy("batch").count().collect()}  # a number for each batch
+    spark = pairs.sparkSession
+    batch = F.pmod(F.xxhash64("id", "context"), F.lit(batches)).cast("int")
+    counted = pairs.groupBy("id", "context").agg(F.count("*").cast("double").alias("many")).withColumn("batch", batch)
+    ends = F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("context").alias("b"), F.lit(1.0).alias("first")), F.struct(F.col("context").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("first"))))
+    path = it.scratch(spark, "sage-pairs")
+    counted.select("many", "batch", ends.alias("e")).select("e.*", "many", "batch").repartition("batch", F.pmod("a", F.lit(16))).write.partitionBy("batch").parquet(path)
+    table = spark.read.schema("a long, b long, first double, many double, batch int").parquet(path)
     degrees = it.checkpointed(g.degrees(edges).select("id", "degree"))
+    drawn = None
+    for step in range(passes * batches):
+        part = negatives(degrees, step, many).withColumn("step", F.lit(step))
+        drawn = part if drawn is None else drawn.unionAll(part)
+    negative = {}
+    for r in it.checkpointed(drawn).join(rows, "id").orderBy("step", "id").collect():  # ``many`` rows for each step
+        negative.setdefault(r.step, []).append(r.s)
     w, adam = w or start(features, size), Adam(rate)
+    width, weights = 2 * size, sum(x.size for x in w.values())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 5_000))
+    dealt = rows.select("id", "s").repartition(n, "id").persist()
     for step in range(passes * batches):
-        at = step % batches
-        if at not in counts:
+        if step not in negative:  # no edges
+            continue
+        now = table.where(F.col("batch") == step % batches)
+        others, held = forward(w, np.array(negative[step]))
+        z = it.stored(mapped(dealt, lambda s, w=w: np.concatenate([forward(w, s[at : at + 1024])[0] for at in range(0, len(s), 1024)])), "sage-vectors")
+        pull = pulled(now, z, width).withColumnRenamed("q", "pull").hint("shuffle_hash")
+        total = summed(dealt.join(pull, "id").select("id", "s", "pull"), (2 + weights + others.size, 1), lambda s, pull, w=w, others=others: node_gradient(w, s, pull, others)[:, None]).ravel()
+        pairs_, loss, gradient, by_others = total[0], total[1], total[2 : 2 + weights], total[2 + weights :].reshape(others.shape)
+        if not pairs_:
             continue
-        drawn = negatives(degrees, step, many).join(rows, "id").orderBy("id").collect()  # ``many`` rows
-        others = np.array([r.s for r in drawn])
-        total = summed(table.where(F.col("batch") == at).select("id", "u", "v"), (1 + sum(x.size for x in w.values()), 1), lambda u, v, w=w, others=others: loss_and_gradient(w, u, v, others)[:, None]).ravel()
-        adam.losses.append(total[0] / counts[at])
-        w = adam.moved(w, total[1:] / counts[at])
+        adam.losses.append(loss / pairs_)
+        w = adam.moved(w, (gradient + backward(w, others, held, by_others)) / pairs_)
+    dealt.unpersist()
     return w, adam.losses
 
 
@@ -127,8 +185,18 @@ def embedded(rows: DataFrame, w: dict[str, np.ndarray]) -> DataFrame:
 
 def reciprocal_ranks(z: DataFrame, pairs: DataFrame, others: DataFrame) -> DataFrame:
     """(id, context, rank, reciprocal): the place of each pair's inner product among those of its first node with all ``others`` (id), a bounded set; ties before it don't count."""
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    far = others.join(z, "id").agg(F.collect_list("x").alias("far"))  # one row of the bounded set
-    both = pairs.join(z.withColumnRenamed("x", "u"), "id").join(z.select(F.col("id").alias("context"), F.col("x").alias("v")), "context").join(F.broadcast(far))
-    rank = 1 + F.size(F.filter(F.transform("far", lambda t: dot(F.col("u"), t)), lambda t: t > dot(F.col("u"), F.col("v"))))
-    return both.select("id", "context", rank.alias("rank"), (1 / rank).alias("reciprocal"))
+    far = np.array([r.x for r in others.join(z, "id").select("x").collect()])  # the bounded set
+    both = pairs.join(z.withColumnRenamed("x", "u"), "id").join(z.select(F.col("id").alias("context"), F.col("x").alias("v")), "context").select("id", "context", "u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                u, v = _rows(b.column(2)), _rows(b.column(3))
+                true, all_ = np.zeros(len(u)), np.zeros((len(u), len(far)))
+                for c in range(u.shape[1] if len(far) else 0):  # in one order, so that equal vectors tie
+                    true += u[:, c] * v[:, c]
+                    all_ += u[:, c, None] * far[:, c]
+                rank = 1 + (all_ > true[:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rank, pa.int32()), pa.array(1 / rank)], ["id", "context", "rank", "reciprocal"])
+
+    return both.mapInArrow(run, "id long, context long, rank int, reciprocal double")

@@ -102,3 +102,23 @@ def test_ranks_of_given_vectors(spark):
     pairs = spark.createDataFrame([(0, 1), (0, 4)], "id long, context long")
     found = {r.context: (r["rank"], r.reciprocal) for r in sage.reciprocal_ranks(z, pairs, z.where("id >= 2").select("id")).collect()}
     assert found == {1: (2, 0.5), 4: (3, 1 / 3)}
+
+
+def test_pairs_never_carry_support_rows(two_rings, monkeypatch):
+    """Repeated pairs count each time, but neither they nor their nodes' rows grow what a step reads: support rows stay out of joins with pairs."""
+    edges, x = two_rings
+    rows = it.checkpointed(sage.support(edges, x, 4, 8))
+    pairs = edges.select(F.col("i").alias("id"), F.col("j").alias("context"))
+    pairs = it.checkpointed(pairs.unionAll(pairs.where("id % 2 = 0")).unionAll(pairs.select("context", "id")))
+    seen = []
+    real = sage.summed
+    monkeypatch.setattr(sage, "summed", lambda df, shape, f: seen.append((df.count(), df.columns)) or real(df, shape, f))
+    found, losses = sage.train(pairs, edges, rows, 6, 4, batches=1, passes=2, many=5)
+    assert all(n <= 61 * 4 and "s" in columns and "v" not in columns for n, columns in seen) and len(seen) == 2  # a row for each node and task at most
+    s, ends, w, adam = {r.id: r.s for r in rows.collect()}, pairs.collect(), sage.start(6, 4), sage.Adam()
+    for step in range(2):
+        drawn = [s[r.id] for r in sage.negatives(g.degrees(edges), step, 5).orderBy("id").collect()]
+        plain = sage.loss_and_gradient(w, np.array([s[r.id] for r in ends]), np.array([s[r.context] for r in ends]), np.array(drawn)) / len(ends)
+        assert losses[step] == pytest.approx(plain[0])
+        w = adam.moved(w, plain[1:])
+    assert all(np.allclose(found[k], w[k], atol=1e-6) for k in sage.NAMES)
