@@ -19,7 +19,8 @@ STATISTICS = 14
 #: Share of letters, digits and so on by byte: lower case, upper case, digit, space, line end, full stop or comma, other ASCII, not ASCII.
 KIND = np.array([4 if b == 10 else 3 if b in (9, 11, 12, 13, 32) else 2 if 48 <= b < 58 else 0 if 97 <= b < 123 else 1 if 65 <= b < 91 else 5 if b in (44, 46) else 7 if b >= 128 else 6 for b in range(256)], np.uint8)
 
-_hashes = WordHash(7)
+#: Few words, as a task's Python process keeps them while it runs later stages.
+_hashes = WordHash(7, 100_000)
 
 
 def document(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from latticework.llm import common, simhash_dedup
+from latticework.llm import common, quality, simhash_dedup
 
 DATA = "/root/testdata/sf0.01"
 
@@ -28,3 +28,12 @@ def test_components_take_no_step_to_confirm_stars(spark, monkeypatch):
         found = common.components(spark.createDataFrame(edges, "a long, b long"), "cc").collect()
         assert {r.id: r.root for r in found} == roots and len(found) == len(roots)
         assert tables in (None, len(made))
+
+
+def test_word_cache_of_the_quality_stage_is_bounded():
+    """It outlives its stage in each Python worker; a cleared cache gives the same features."""
+    text = " ".join(f"v{k}" for k in range(100)).encode()
+    before = quality.document(text)
+    quality.document(" ".join(f"u{k}" for k in range(250_000)).encode())
+    assert len(quality._hashes) <= 100_000
+    assert all((a == b).all() for a, b in zip(before, quality.document(text)))
