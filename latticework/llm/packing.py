@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import small_batches, table
+from latticework.llm.common import only, small_batches, table
 
 #: Control characters that Python, but not the tokenizer, takes for white space.
 ODD = re.compile("[\x1c-\x1f]")
 ASCII = re.compile("[!-~]+")
 #: Fixed value: what the pre-tokenizer's pattern comes to on lower-case ASCII.
 ASCII_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-MOST = 600_000  #: words that a Python worker remembers
+MOST = 600_000  #: words that a Python worker remembers until another cache is in use
 
 
 class WordIds:
@@ -46,7 +46,12 @@ class WordIds:
             out.append(ids)
         return b"".join(out)
 
+    def clear(self) -> None:
+        self.held.clear()
+        self.pieces.clear()
+
     def encode(self, docs: list[str]) -> list[bytes]:
+        only(self)
         cut = [[t] if ODD.search(t) else t.split() for t in docs]
         new = set(chain.from_iterable(cut)) - self.held.keys()
         plain = {x for x in new if ASCII.fullmatch(x) and "<|" not in x}

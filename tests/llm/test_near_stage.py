@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from latticework.llm import common, quality, simhash_dedup
+from latticework.llm import common, packing, quality, simhash_dedup, substring_dedup
 
 DATA = "/root/testdata/sf0.01"
 
@@ -37,3 +37,28 @@ def test_word_cache_of_the_quality_stage_is_bounded():
     quality.document(" ".join(f"u{k}" for k in range(250_000)).encode())
     assert len(quality._hashes) <= 100_000
     assert all((a == b).all() for a, b in zip(before, quality.document(text)))
+
+
+def test_a_worker_holds_one_cache_of_words():
+    """Python workers run all stages: what one remembers must not stay beside the next one's."""
+    import public_tokenizers
+
+    text = " ".join(f"v{k}" for k in range(1000))
+    ids = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    first = ids.encode([text])
+    before = [simhash_dedup.shingles(text.encode(), 5), quality.document(text.encode())[0], substring_dedup.window_keys(text.encode(), 50, 24)[0]]
+    assert not ids.held and not ids.pieces and not simhash_dedup._words and not quality._hashes and len(substring_dedup._words) == 1000
+    assert ids.encode([text]) == first and not substring_dedup._words
+    after = [simhash_dedup.shingles(text.encode(), 5), quality.document(text.encode())[0], substring_dedup.window_keys(text.encode(), 50, 24)[0]]
+    assert all((a == b).all() for a, b in zip(before, after))
+
+
+def test_components_make_no_rows_of_nodes_without_hubs(spark, monkeypatch):
+    """A node's least neighbour goes only where it has edges: no step makes ``salts`` rows of each node, and hubs still come out right."""
+    plans = []
+    real = common.written
+    monkeypatch.setattr(common, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, label))
+    edges = [(k, 0) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1030)] + [(2000, 2001)]
+    found = {r.id: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "cc").collect()}
+    assert found == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1031)} | {2000: 2000, 2001: 2000}
+    assert len(plans) > 1 and not any("Generate" in p for p in plans)
