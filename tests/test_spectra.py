@@ -1,4 +1,4 @@
-"""Block Lanczos against numpy, and its residuals over the tables against DuckDB."""
+"""Block Davidson against numpy, and its residuals over the tables against DuckDB."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from latticework.operators import graph as g
 from latticework.operators import iterative as it
 from latticework.operators import spectra as sp
@@ -73,3 +75,36 @@ def test_residuals_over_the_tables_in_sql(spark, tmp_path):
         l[at[r.i], at[r.j]] += r.v
     true = np.linalg.eigvalsh(l)
     assert zeros == (true < 1e-8).sum() and np.allclose(found.values, true[zeros : zeros + 5], atol=1e-6)
+
+
+def test_blocks_times_vectors(spark):
+    """In many parts and with rows and columns that the other side lacks."""
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((60, 60)) < 0.2, rng.integers(-3, 4, (60, 60)), 0.0)
+    m[:, 7], m[9] = 0.0, 0.0
+    matrix = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i long, j long, v double")
+    x = rng.random((60, 3))
+    blocks, side = sp.packed(matrix, 20)
+    got = sp.times_block(blocks, side, spark.createDataFrame([(k, x[k].tolist()) for k in range(60) if k % 11], "id long, x array<double>"), 3).collect()
+    x[::11] = 0.0
+    assert side > 4 and {r.id for r in got} == set(np.flatnonzero(m.any(1))) and all(np.allclose(r.w, m[r.id] @ x) for r in got)
+
+
+def test_contracted_components(spark):
+    edges = spark.range(400).select(F.col("id").alias("i"), F.explode(F.array(F.col("id") * 7 % 400, F.col("id") * 3 % 50 + 350)).alias("j")).where("i % 13 > 2 and i < j").withColumn("w", F.lit(1.0))
+    edges = it.checkpointed(edges.unionAll(src.path(spark, 90, 1.0).select(F.col("i") * 3 + 1000, F.col("j") * 3 + 1000, "w")))
+    nodes = spark.range(1400)
+    assert it.contracted_components(edges, nodes).exceptAll(it.connected_components(edges, nodes)).count() == 0 and it.contracted_components(edges, nodes).count() == 1400
+
+
+def test_few_products_on_uneven_degrees(spark):
+    """The smallest values lie near the smallest degrees: the first vectors and the steps go by the diagonal."""
+    edges, nodes = it.checkpointed(src.part_edges(spark, DATA, 1)), src.part_nodes(spark, DATA)
+    zeros, found = sp.laplacian_spectrum(edges, nodes, 5)
+    at = {r.id: k for k, r in enumerate(nodes.orderBy("id").collect())}
+    l = np.zeros((len(at),) * 2)
+    for r in g.laplacian(edges).collect():
+        l[at[r.i], at[r.j]] += r.v
+    true = np.linalg.eigvalsh(l)
+    assert zeros == (true < 1e-8).sum() and np.allclose(found.values, true[zeros : zeros + 5], atol=1e-6)
+    assert found.products <= 14, found.products
