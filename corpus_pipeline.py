@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import line_dedup, packing, quality, simhash_dedup, substring_dedup
-from latticework.llm.common import components, table, written
+from latticework.llm.common import components, merged, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     simhash, similar = (x.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")) for x in found)
     links = simhash.unionAll(similar)
     gone = components(links, "near-cc").where("id <> root").select(F.col("id").alias("doc_id"))
-    return _documents(docs.join(gone, "doc_id", "left_anti"))
+    return _documents(docs.join(merged(gone), "doc_id", "left_anti"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import Rolling, clear, mixed, small_batches, table, texts, written
+from latticework.llm.common import Rolling, clear, merged, mixed, small_batches, table, texts, written
 
 LEAST = 24  #: bytes of the shortest run that counts: one line, or several short ones together
 _first, _second = Rolling(0x9E3779B97F4A7C15), Rolling(0xD1342543DE82EF95)
@@ -101,7 +101,7 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
     positions = marked.mapInArrow(select, "fp long, doc_id long, line int")
     # counted apart from the join, which can then split the positions of a hot line
     often = written(positions.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "line-often")
-    joined = positions.join(often, "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("at"))
+    joined = positions.join(merged(often), "fp", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("at"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,11 +123,11 @@ def repeated_runs(docs: DataFrame, least: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["w1", "w2", "doc_id", "first", "last"])
 
-    windows = marked.join(joined, "doc_id").select("doc_id", "h", "size", "at").mapInArrow(extend, "w1 long, w2 long, doc_id long, first int, last int")
+    windows = marked.join(merged(joined), "doc_id").select("doc_id", "h", "size", "at").mapInArrow(extend, "w1 long, w2 long, doc_id long, first int, last int")
     windows = written(windows, "line-windows")
     place = F.struct("doc_id", "first")
     earliest = written(windows.groupBy("w1", "w2").agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-earliest")
-    return windows.join(earliest, ["w1", "w2"]).where(place > F.col("least")).select("doc_id", "first", "last")
+    return windows.join(merged(earliest), ["w1", "w2"]).where(place > F.col("least")).select("doc_id", "first", "last")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -145,7 +145,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     names = [c for c in docs.columns if c != "n_removed_lines"]
     runs, key = clear(docs, "runs", "key")
     late = repeated_runs(docs.select("doc_id", "text"), least).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("first", "last")).alias(runs))
-    joined = docs.join(late, F.col("doc_id") == F.col(key), "left").select(*names, runs)
+    joined = docs.join(merged(late), F.col("doc_id") == F.col(key), "left").select(*names, runs)
     at_text = names.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, Rolling, WordHash, components, small_batches, table, texts, written
+from latticework.llm.common import WORD, Rolling, WordHash, components, merged, small_batches, table, texts, written
 from latticework.llm.sketch import prefilter
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -132,16 +132,16 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
     meets = nodes.select("fp", F.explode(blocks).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("of")).where("size(of) > 1")
     close = meets.select(F.explode("of").alias("a"), F.array_min("of").alias("b")).where("a <> b")
     first = written(components(close, "simhash-cc"), "simhash-first")
-    nodes = written(nodes.join(first, nodes.fp == first.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("comp")), "simhash-nodes")
+    nodes = written(nodes.join(merged(first), nodes.fp == first.id, "left").select("fp", "least", F.coalesce("root", "fp").alias("comp")), "simhash-nodes")
     rows = keyed(nodes.select("fp", "comp"))
-    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits))
+    met = rows.alias("x").join(merged(rows.alias("y")), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits))
     links = met.select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct()
     second = components(links, "simhash-cc")
-    found = nodes.join(second, nodes.comp == second.id, "left").select("fp", "least", F.coalesce("root", "comp").alias("comp"))
+    found = nodes.join(merged(second), nodes.comp == second.id, "left").select("fp", "least", F.coalesce("root", "comp").alias("comp"))
     found = written(found, "simhash-found")
     least = found.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = written(found.join(least, "comp").select("fp", "component_id"), "simhash-named")
-    return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = written(found.join(merged(least), "comp").select("fp", "component_id"), "simhash-named")
+    return marked.join(merged(named), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def shingles(text: bytes, shingle: int) -> np.ndarray:
@@ -189,31 +189,31 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     pre.close()
     equal = held.groupBy("key").agg(F.min("doc_id").alias("id"))
     equal = written(equal, "similar-equal")
-    sets = written(held.join(equal.select("id"), held.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "h").where("n > 0").dropDuplicates(["id"]), "similar-distinct")
+    sets = written(held.join(merged(equal.select("id")), held.doc_id == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "n", "h").where("n > 0").dropDuplicates(["id"]), "similar-distinct")
     tokens = sets.select("id", "n", F.explode("h").alias("t"))
     shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(shared, "t").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("m", F.count("*").over(Window.partitionBy("id")))
+    ranked = tokens.join(merged(shared), "t").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("df", "t"))).withColumn("m", F.count("*").over(Window.partitionBy("id")))
     # hashes that no other set has come first in the order and use up the prefix: n - m of them
     prefix = written(ranked.where(F.col("nth") <= F.col("m") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).select("t", "id", "n"), "similar-prefix")
     comp = sets.select("id", F.col("id").alias("comp"))
     for full in (False, False, True):
         comp = written(comp, "similar-comp")
-        of = prefix.join(comp, "id")
+        of = prefix.join(merged(comp), "id")
         if full:
-            met = of.alias("x").join(of.alias("y"), (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9))
+            met = of.alias("x").join(merged(of.alias("y")), (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * least - 1e-9))
             pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
             hub = of.groupBy("t").agg(F.min(F.struct("comp", "id")).alias("hub"))
-            pairs = of.join(hub, "t").where("comp <> hub.comp").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+            pairs = of.join(merged(hub), "t").where("comp <> hub.comp").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
         a, b = sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))
-        both = pairs.distinct().join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+        both = pairs.distinct().join(merged(a), "a").join(merged(b), "b").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         near = both.where(F.col("common") >= (F.size("ha") + F.size("hb") - F.col("common")) * least - 1e-9).select("a", "b")
-        ends = near.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+        ends = near.join(merged(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca"))), "a").join(merged(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))), "b")
         root = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "similar-cc").select(F.col("id").alias("comp"), "root")
-        comp = comp.join(root, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
-    named = equal.join(comp, "id", "left").select("key", F.coalesce("comp", "id").alias("component_id"))
-    found = held.join(named, "key").select("doc_id", "component_id")
-    return docs.select("doc_id").distinct().join(found.dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+        comp = comp.join(merged(root), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    named = equal.join(merged(comp), "id", "left").select("key", F.coalesce("comp", "id").alias("component_id"))
+    found = held.join(merged(named), "key").select("doc_id", "component_id")
+    return docs.select("doc_id").distinct().join(merged(found.dropDuplicates(["doc_id"])), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

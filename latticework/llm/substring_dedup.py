@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WORD, Rolling, WordHash, clear, mixed, sliding_min, small_batches, table, texts, written
+from latticework.llm.common import WORD, Rolling, WordHash, clear, merged, mixed, sliding_min, small_batches, table, texts, written
 from latticework.llm.sketch import prefilter
 
 GRAM = 24  #: words of the runs whose least hash stands for a window in the sketch
@@ -124,7 +124,7 @@ def without_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, log2: i
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     starts, key = clear(rows, "starts", "key")
     late = later_windows(rows, window, gram, log2).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("starts").alias(starts))
-    joined = rows.join(late, F.col("doc_id") == F.col(key), "left")
+    joined = rows.join(merged(late), F.col("doc_id") == F.col(key), "left")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     schema = joined.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit(None).cast("string").alias("kept")).schema
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from latticework.llm import common, packing, quality, simhash_dedup, substring_dedup
+from latticework.llm import common, line_dedup, packing, quality, simhash_dedup, substring_dedup
 
 DATA = "/root/testdata/sf0.01"
 
@@ -62,3 +62,17 @@ def test_components_make_no_rows_of_nodes_without_hubs(spark, monkeypatch):
     found = {r.id: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "cc").collect()}
     assert found == {k: 0 for k in range(300)} | {k: 1000 for k in range(1000, 1031)} | {2000: 2000, 2001: 2000}
     assert len(plans) > 1 and not any("Generate" in p for p in plans)
+
+
+def test_no_side_of_a_join_is_broadcast_by_its_estimate(spark, monkeypatch):
+    """Keys made of fingerprints, or rows of arrays, are many times the files that Spark sizes them by: small tables show which joins it would broadcast."""
+    plans = []
+    real = common.written
+    kept = lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label)
+    for module in (common, line_dedup, simhash_dedup, substring_dedup):
+        monkeypatch.setattr(module, "written", kept)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for made in (simhash_dedup.near_duplicates(docs), corpus_pipeline.drop_repeated_lines(spark, docs, DATA), corpus_pipeline.drop_near_duplicates(spark, docs, DATA), corpus_pipeline.drop_repeated_passages(spark, docs, DATA)):
+        plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
