@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import WORD, Rolling, WordHash, components, merged, small_batches, table, texts, written
-from latticework.llm.sketch import prefilter
+from latticework.llm.sketch import LEAST_LOG2, ROOM, of_ids, prefilter
 
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
+#: Bytes of text for each run of words, about; cells of the sketch of such runs that is broadcast, and of the bits of documents, at most.
+SPACING, CELLS_LOG2 = 6, 27
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 _words, _runs = WordHash(3), Rolling(0x9E3779B97F4A7C15)
@@ -158,11 +160,37 @@ def needed(n: int, least: float) -> int:
     return math.ceil(n * least - 1e-9)
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def partnered(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(doc_id): documents that may have a partner, told by three eighths of the hashes: those whose last three bits are below 3, the same ones in all texts.
+
+    Of a set of n hashes a partner lacks n - ceil(``least`` * n) at most, so of these three eighths all but as many occur in another text. Where
+    that says nothing, as of short texts, the document stays. One shuffle of these hashes counts them exactly at any size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes, n = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                h = shingles(t, shingle)
+                some = h[h & np.uint64(7) < np.uint64(3)]
+                asked = len(some) - (len(h) - needed(len(h), least))
+                ids.append(i)
+                hashes.append(some if asked > 0 else np.array([i], np.int64).view(np.uint64))
+                n.append(max(asked, 0))
+            if ids:
+                many = [len(x) for x in hashes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)), pa.array(np.repeat(np.array(n, np.int32), many))], ["t", "doc_id", "asked"])
+
+    rows = docs.mapInArrow(run, "t long, doc_id long, asked int").withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1 or asked = 0")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select("doc_id")
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5, most_log2: int = CELLS_LOG2) -> DataFrame:
     """Components of documents whose sets of ``shingle``-word runs have a Jaccard similarity of ``least`` or more: (doc_id, component_id), each doc_id once.
 
     Complete, unlike fingerprints within a few bits. Two such sets of n and m share at least ``least`` * n hashes. So a
-    text of which fewer hashes occur elsewhere, by a count-min sketch that never counts too few, has no partner.
+    text of which fewer hashes occur elsewhere, by a count-min sketch that never counts too few, has no partner. Where the texts have more
+    hashes than the sketch may have cells, 2**``most_log2``, it would let all of them pass; then it is made of the texts that ``partnered`` leaves.
     For the others, hashes are ordered by ascending count, and the sets of a pair share one of the first n - ceil(least * n) + 1;
     pairs that share one are verified on the whole sets. Equal sets meet as one before that. Rounds that compare one
     member of each component with one hub of each hash contract dense groups, so that the last, full join only pairs
@@ -171,7 +199,12 @@ def similar_documents(docs: DataFrame, least: float = 0.8, shingle: int = 5) ->
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    pre = prefilter(docs, lambda t: shingles(t, shingle), 6, wide=False, chunk=400_000, most_log2=27)
+    some, rows = docs, docs.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
+    if (rows["size"] or 0) > SPACING << most_log2:
+        some, bits = of_ids(docs, partnered(docs, least, shingle), min(max(LEAST_LOG2, (ROOM * rows["n"]).bit_length()), CELLS_LOG2))
+        some = written(some, "similar-some")
+        bits.destroy()
+    pre = prefilter(some, lambda t: shingles(t, shingle), SPACING, wide=False, chunk=400_000, most_log2=most_log2)
     test = pre.test
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 from latticework.llm import common, line_dedup, packing, quality, simhash_dedup, substring_dedup
 
@@ -76,3 +78,20 @@ def test_no_side_of_a_join_is_broadcast_by_its_estimate(spark, monkeypatch):
         plans.append(made._jdf.queryExecution().executedPlan().toString())
     assert sum("SortMergeJoin" in p for p in plans) > 10
     assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
+def test_more_runs_than_cells_leave_unlike_texts_out(spark, monkeypatch):
+    """A sketch with more marks than cells tells nothing: texts without a partner must still not reach the sets, and no pair may be lost."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(10**9)}"
+    rows = {k: [word() for _ in range(120)] for k in range(60)}
+    for k in range(10):
+        rows[100 + k] = rows[k][:115] + [word() for _ in range(5)]
+    rows |= {200: ["a", "b"], 201: ["a", "b"], 202: [], 203: [], 204: rows[20], 205: rows[30][:60] + [word() for _ in range(60)]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in rows.items()], "doc_id long, text string")
+    seen = {}
+    real = simhash_dedup.written
+    monkeypatch.setattr(simhash_dedup, "written", lambda df, label: seen.__setitem__(label, real(df, label)) or seen[label])
+    found = {r.doc_id: r.component_id for r in simhash_dedup.similar_documents(docs, most_log2=8).collect()}
+    assert found == {k: k for k in rows} | {100 + k: k for k in range(10)} | {201: 200, 203: 202, 204: 20}
+    assert seen["similar-sets"].count() < 40 and seen["similar-some"].count() < 40
