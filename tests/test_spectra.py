@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -108,3 +110,14 @@ def test_few_products_on_uneven_degrees(spark):
     true = np.linalg.eigvalsh(l)
     assert zeros == (true < 1e-8).sum() and np.allclose(found.values, true[zeros : zeros + 5], atol=1e-6)
     assert found.products <= 14, found.products
+
+
+def test_tables_of_former_steps_do_not_stay(spark):
+    """What lies in the shared folder must not grow with the number of steps."""
+    shared = Path(it.shared_dir(spark).removeprefix("file://"))
+    names = lambda: {p.name for p in shared.iterdir()}
+    before = names()
+    found = sp.smallest(g.laplacian(src.path(spark, 60, 1.0)), spark.range(60), 2)
+    made = [n.split("-")[0] for n in names() - before]
+    assert np.allclose(found.values, np.linalg.eigvalsh(dense(src.path(spark, 60, 1.0), 60))[:2], atol=1e-6)
+    assert found.products > 3 and made.count("davidson") == 2 and made.count("residuals") == 1
